@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that DuckDB runs for those that SQL can express."""
 
-from constella.llm import decontaminate
+from constella.llm import decontaminate, html_text
 
 QUERIES = {
+    "op3_html_extraction": html_text.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
