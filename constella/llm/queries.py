@@ -1,10 +1,13 @@
 """The queries of this subpackage and the SQL that DuckDB runs for those that SQL can express."""
 
-from constella.llm import decontaminate, html_text
+from constella.llm import decontaminate, html_text, warc
 
 QUERIES = {
+    "op2_warc": warc.query,
     "op3_html_extraction": html_text.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_warc": warc.ORACLE_SQL,
+}
