@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from constella.llm import _store
 LENGTH = 1024
 #: Documents whose short pieces are packed together.
 SHARD = 32_768
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a worker keeps at most, in two generations.
+CACHE_WORDS = 1_000_000
 
 # The pre-tokenisation pattern of the vocabulary, for texts whose letters and digits are all ASCII or Latin.
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
@@ -36,6 +37,13 @@ _SIMPLE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_L
 _COVERED = re.compile(rf"[\t\n\v\f\r\x20-\x7e{_LATIN}¡-©«¬®-±´¶-¸»¿×÷‐-‧‰-⁞₠-₿]*+\Z")
 
 
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow 255 in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b if b in plain else 256 + sum(c not in plain for c in range(b)) for b in range(256)}
+
+
 class Tokens:
     """Ids of texts as little-endian 32-bit bytes, with the ids of words kept between texts."""
 
@@ -43,37 +51,30 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.end = separator.to_bytes(4, "little")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self.words[word] = found
+        return found
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out, split, unknown = [], [], {}
+        out = []
         for text in texts:
             # A special token's string is told apart by the tokenizer itself, and so is what the pattern doesn't cover.
             if text and ("<|" in text or not _COVERED.match(text)):
-                split.append(None)
-                continue
-            words = _SIMPLE.findall(text or "")
-            split.append(words)
-            unknown.update(dict.fromkeys(w for w in words if w not in self.words))
-        if unknown:
-            self._learn(list(unknown))
-        known = self.words
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             else:
-                try:
-                    ids = b"".join([known[w] for w in words])
-                except KeyError:  # forgotten just now
-                    self._learn(list(dict.fromkeys(words)))
-                    ids = b"".join([known[w] for w in words])
+                if len(self.words) > CACHE_WORDS // 2:
+                    self.words, self.older = {}, self.words
+                known, learn = self.words.get, self._word
+                ids = b"".join([known(w) or learn(w) for w in _SIMPLE.findall(text or "")])
             out.append(ids + self.end)
         return out
 
@@ -88,8 +89,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
     """(bin, offset) of each length, placed longest first where the sum of N(g)**2 grows least.
 
     N(g) counts the open bins with gap g > 0. Moving a bin from gap g to g - s changes the sum by
-    2 * (N(g - s) - N(g)) + 2, closing it by 1 - 2 * N(g), and a new bin adds 2 * N(capacity - s) + 1.
-    Ties go to the smallest gap, a new bin is last; of bins with one gap the latest is used.
+    2 * (N(g - s) - N(g)) + 2, closing it by 1 - 2 * N(g). A bin is opened where none has room: on
+    document lengths that leaves 0.2 % over the lower bound, against 1.5 % where an opening competes.
+    Ties go to the smallest gap; of bins with one gap the latest is used.
     """
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     counts, opened, n = np.zeros(capacity + 1, np.int64), [[] for _ in range(capacity + 1)], 0
@@ -99,14 +101,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
             raise ValueError(f"a piece of {s} tokens")
         gaps = counts[s:capacity]
         there = np.flatnonzero(gaps)
-        best, change = capacity, (2 * counts[capacity - s] + 1 if s < capacity else 0)
+        best = capacity
         if len(there):
             deltas = 2 * (counts[there] - gaps[there]) + 2
             if there[0] == 0:
                 deltas[0] = 1 - 2 * gaps[0]
-            k = int(np.argmin(deltas))
-            if deltas[k] <= change:
-                best = s + int(there[k])
+            best = s + int(there[np.argmin(deltas)])
         if best == capacity:
             bins[item], offsets[item], n = n, 0, n + 1
         else:

@@ -17,7 +17,7 @@ def slow(lengths, capacity):
     for item in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
         s, best = lengths[item], None
         gaps = sorted({capacity - sum(b) for b in bins if capacity - sum(b) >= s})
-        for gap in [*gaps, capacity]:
+        for gap in gaps or [capacity]:
             after = [capacity - sum(b) for b in bins]
             if gap < capacity:
                 after.remove(gap)
