@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL that DuckDB runs for those that SQL can express."""
 
-from constella.llm import decontaminate, html_text, packing, warc
+from constella.llm import decontaminate, html_text, language, packing, warc
 
 QUERIES = {
     "op2_warc": warc.query,
     "op3_html_extraction": html_text.query,
+    "op5_language_id": language.query,
     "op7_packing": packing.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
