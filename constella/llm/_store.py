@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def drop(*tables: DataFrame) -> None:
             delete(t.sparkSession, folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect plans that are done with, so that the shuffle files behind them are deleted now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that ``df`` doesn't have, compared without case."""
     taken = {c.lower() for c in df.columns}

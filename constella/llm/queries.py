@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that DuckDB runs for those that SQL can express."""
 
-from constella.llm import decontaminate, html_text, language, packing, warc
+from constella.llm import decontaminate, html_text, language, ngram_join, packing, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
     "op2_warc": warc.query,
     "op3_html_extraction": html_text.query,
     "op5_language_id": language.query,
