@@ -1,16 +1,18 @@
 """The queries of this subpackage and the SQL that DuckDB runs for those that SQL can express."""
 
-from constella.llm import decontaminate, html_text, language, ngram_join, packing, warc
+from constella.llm import decontaminate, html_text, language, ngram_join, packing, quality, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_warc": warc.query,
     "op3_html_extraction": html_text.query,
     "op5_language_id": language.query,
+    "op6_quality_rules": quality.query,
     "op7_packing": packing.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
 ORACLE_SQL = {
+    "op6_quality_rules": quality.ORACLE_SQL,
     "op2_warc": warc.ORACLE_SQL,
 }
