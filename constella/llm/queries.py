@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that DuckDB runs for those that SQL can express."""
 
-from constella.llm import decontaminate, html_text, language, ngram_join, packing, quality, warc
+from constella.llm import decontaminate, html_text, language, ngram_join, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_language_id": language.query,
     "op6_quality_rules": quality.query,
     "op7_packing": packing.query,
+    "op8_secret_scans": secrets.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
