@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that DuckDB runs for those that SQL can express."""
 
-from constella.llm import decontaminate, html_text, language, ngram_join, packing, quality, secrets, warc
+from constella.llm import decontaminate, html_text, language, ngram_join, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_quality_rules": quality.query,
     "op7_packing": packing.query,
     "op8_secret_scans": secrets.query,
+    "op9_pii": pii.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
