@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL that DuckDB runs for those that SQL can express."""
 
-from constella.llm import decontaminate, html_text, language, ngram_join, packing, pii, quality, secrets, warc
+from constella.llm import decontaminate, html_text, language, licenses, ngram_join, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_warc": warc.query,
     "op3_html_extraction": html_text.query,
+    "op4_license_scans": licenses.query,
     "op5_language_id": language.query,
     "op6_quality_rules": quality.query,
     "op7_packing": packing.query,
