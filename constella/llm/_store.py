@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import gc
+
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that deletes a query's shuffle files when it ends; those behind a written table are of no further use.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one is made only for local masters that name none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,11 +31,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/constella/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are deleted when the query ends."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and return the table read back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with tidy(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -51,10 +72,6 @@ def drop(*tables: DataFrame) -> None:
             delete(t.sparkSession, folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver collect plans that are done with, so that the shuffle files behind them are deleted now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def free_name(df: DataFrame, wish: str) -> str:

@@ -6,10 +6,11 @@ that reach the threshold share a gram within the prefixes that the order gives t
 grams; pairs that the length or the positional filter refutes are dropped, the others are verified once:
 a suffix filter bounds the overlap by counts in ranges of the gram space, the rest is counted exactly.
 
-Classes need connections, not all pairs. While many candidate pairs would remain, rounds of verification
-link each node to one leader of the buckets it shares, and what is connected is not compared again. The
-last round verifies every pair of nodes that still share a bucket in different classes, so no link between
-classes is lost. Nothing is capped: a large group of copies is joined by as many verifications as it has
+Classes need connections, not all pairs. First each node is verified against one leader of the buckets it
+shares: the node with the least rare grams before the shared one, which in a group of altered copies is
+the one closest to their origin. What is connected is not compared again. If very many candidate pairs
+would remain, further rounds with other leaders follow. The last round verifies every pair of nodes that
+still share a bucket in different classes, so no link between classes is lost. Nothing is capped: a large group of copies is joined by as many verifications as it has
 nodes, not by their square.
 
 Null text, and text without a word, has an empty set, which is linked with nothing; rows of one identifier
@@ -29,7 +30,7 @@ from constella.llm import _store, _text, graph
 #: Counters of the frequency sketch, and of the blocks in which they travel.
 SKETCH_BITS, BLOCK = 20, 1 << 14
 #: Candidate pairs per bucket row up to which the last round begins, and rounds before it at most.
-PAIRS_PER_ROW, LEADER_ROUNDS = 2, 6
+PAIRS_PER_ROW, LEADER_ROUNDS = 20, 3
 #: Ranges of the gram space in which the suffix filter compares counts.
 SUFFIX_RANGES = 16
 
@@ -148,15 +149,22 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return found.join(mixed, "gram", "left_semi")
 
 
-def _open_pairs(rows: DataFrame) -> int:
-    """Pairs of nodes of different classes within buckets."""
-    per = rows.groupBy("gram", "class").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("gram").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+def _short(percent: int, side: str = ""):
+    """Whether a row may stand for the smaller set of a pair: the positional filter for a partner of its own size."""
+    n, pos = F.col(f"{side}n"), F.col(f"{side}pos")
+    return (n - pos + 1) * (100 + percent) >= 2 * n * percent
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> int:
+    """Pairs of different classes within buckets whose rows both may stand for a smaller set."""
+    per = rows.filter(_short(percent)).groupBy("gram", "class").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("gram").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
     return int(per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
 
 
 def _leader_pairs(rows: DataFrame, round_: int, percent: int) -> DataFrame:
     """Each node with the leader, of another class, that it shares most buckets with."""
-    w = Window.partitionBy("gram").orderBy(F.xxhash64("class", F.lit(round_)), F.xxhash64("node", F.lit(round_)))
+    order = [F.col("pos") / F.col("n")] if round_ == 0 else []
+    w = Window.partitionBy("gram").orderBy(*order, F.xxhash64("class", F.lit(round_)), F.xxhash64("node", F.lit(round_)))
     led = rows.withColumn("x", F.first(F.struct("node", "class", "n", "pos")).over(w)).withColumn("y", F.struct("node", "class", "n", "pos"))
     led = led.filter((F.col("x.class") != F.col("y.class")) & _possible(percent))
     shared = led.groupBy(F.col("y.node").alias("member"), F.col("x.node").alias("leader")).count()
@@ -166,9 +174,21 @@ def _leader_pairs(rows: DataFrame, round_: int, percent: int) -> DataFrame:
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes of different classes that share a bucket and that the filters let pass."""
-    x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.class") != F.col("y.class")) & _possible(percent))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    x, y = rows.filter(_short(percent)).alias("x"), rows.alias("y")
+    ordered = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & ordered & (F.col("x.class") != F.col("y.class")) & _possible(percent))
+    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after new links between nodes: classes are joined, and their nodes follow."""
+    if labels is None:
+        return graph.components(links)
+    of = lambda end: (labels.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    joined = _store.materialise(graph.components(between), "joined")
+    moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return moved.unionByName(joined.join(labels.select("node"), "node", "left_anti"))
 
 
 def _node_sets(docs: DataFrame, ranked: DataFrame, buckets: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -213,41 +233,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ends.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, linked boolean")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, node, n) of all documents, and (node, component) of the linked nodes."""
+    ranked = _store.materialise(prefixes(docs, sketch(docs, text_col, width), id_col=id_col, text_col=text_col, width=width, percent=percent), "prefixes")
+    buckets = _store.materialise(_buckets(ranked), "buckets")
+    nodes = _store.materialise(ranked.select("doc_id", "node", "n"), "nodes")
+    _store.drop(ranked)
+    n_rows, labels, judged = buckets.count(), None, None
+    if not n_rows:
+        return nodes, None
+    sets = _store.materialise(_node_sets(docs, nodes, buckets, id_col=id_col, text_col=text_col, width=width), "sets")
+    for round_ in range(LEADER_ROUNDS + 1):
+        rows = _labelled(buckets, labels) if labels is None else _store.materialise(_labelled(buckets, labels), "open")
+        last = round_ > 0 and (round_ == LEADER_ROUNDS or _open_pairs(rows, percent) <= PAIRS_PER_ROW * n_rows)
+        pairs = _all_pairs(rows, percent) if last else _leader_pairs(rows, round_, percent)
+        if judged is not None:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        found = _store.materialise(_verified(pairs, sets, percent), "judged")
+        judged = found.select("a", "b") if judged is None else judged.unionByName(found.select("a", "b"))
+        labels = _store.materialise(_merged(labels, found.filter("linked").select("a", "b")), "labels")
+        if last:
+            break
+    _store.drop(sets, buckets)
+    return nodes, labels
+
+
 def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest identifier that links reach, of every document.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets.
     """
-    spark = docs.sparkSession
-    ranked = _store.materialise(prefixes(docs, sketch(docs, text_col, width), id_col=id_col, text_col=text_col, width=width, percent=percent), "prefixes")
-    buckets = _store.materialise(_buckets(ranked), "buckets")
-    nodes = _store.materialise(ranked.select("doc_id", "node", "n"), "nodes")
-    _store.drop(ranked)
-    _store.release(spark)
-    labels = None
-    n_rows = buckets.count()
-    if n_rows:
-        sets = _store.materialise(_node_sets(docs, nodes, buckets, id_col=id_col, text_col=text_col, width=width), "sets")
-        _store.release(spark)
-        judged = links = None
-        for round_ in range(LEADER_ROUNDS + 1):
-            rows = _store.materialise(_labelled(buckets, labels), "open") if labels is not None else _labelled(buckets, labels)
-            still = _open_pairs(rows)
-            last = round_ == LEADER_ROUNDS or still <= PAIRS_PER_ROW * n_rows and round_ > 0
-            if still:
-                pairs = _all_pairs(rows, percent) if last else _leader_pairs(rows, round_, percent)
-                if judged is not None:
-                    pairs = pairs.join(judged, ["a", "b"], "left_anti")
-                found = _store.materialise(_verified(pairs, sets, percent), "judged")
-                judged = found.select("a", "b") if judged is None else judged.unionByName(found.select("a", "b"))
-                new = found.filter("linked").select("a", "b")
-                links = new if links is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
-                labels = _store.materialise(graph.components(links), "labels")
-            if labels is not None and round_:
-                _store.drop(rows)
-            _store.release(spark)
-            if last or not still:
-                break
+    with _store.tidy(docs.sparkSession):
+        nodes, labels = _classes(docs, id_col, text_col, width, percent)
     node = F.col("node")
     if labels is not None:
         nodes = nodes.join(labels, "node", "left")
