@@ -29,7 +29,9 @@ def _named(files: DataFrame) -> DataFrame:
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """Templates and fields with their RGB rasters, decoded by Spark; the raster of an unreadable file is null."""
     files = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").option("pathGlobFilter", _FILES).load(root)
-    flat = files.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    # The image source names files by their escaped URI, other sources by their path.
+    path = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
+    flat = files.select(path.alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
     raster = F.when(F.col("height") > 0, F.struct("height", "width", "channels", "data"))
     return _named(flat.select("path", raster.alias("raster")))
 
