@@ -35,9 +35,11 @@ PATTERNS = {
     "card": rf"{_EDGE}[2-6][0-9]{{3}}(?:[\x20-]?[0-9]{{4}}){{2}}[\x20-]?[0-9]{{1,7}}{_END}",
     "name": rf"{_EDGE}(?:{FEMALE}|{MALE})\.?\x20{NAME_WORD}(?:\x20{NAME_WORD})?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What each type begins with: a look at one character spares most places the whole pattern.
+_BEGIN = {"email": "", "ip": "(?=[0-9])", "iban": "(?=[A-Z]{2}[0-9])", "ssn": "(?=[0-9])", "phone": "(?=[+(0-9])", "card": "(?=[2-6])", "name": "(?=[FHMSгГκΚ])"}
+ANY = "|".join(f"(?:{_BEGIN[k]}{p})" for k, p in PATTERNS.items())
 #: What every entity has: most texts hold none of it.
-HINT = rf"[0-9@]|(?:{FEMALE}|{MALE})\.?\x20\p{{Lu}}"
+HINT = rf"[0-9@]|{_BEGIN['name']}{_EDGE}(?:{FEMALE}|{MALE})\.?\x20\p{{Lu}}"
 
 # Given names by script and gender, and syllables of family names by script.
 GIVEN = {
@@ -53,11 +55,24 @@ SYLLABLES = {
 ALPHABETS = {"cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "latin": "abcdefghijklmnopqrstuvwxyz"}
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _choose(options: dict[str, Column], by: Column) -> Column:
+    """The option that ``by`` names; the last one otherwise."""
+    *first, (_, last) = options.items()
+    out = F
+    for name, value in first:
+        out = out.when(by == name, value)
+    return out.otherwise(last)
+
+
 def kind_of(value: Column) -> Column:
-    out = None
+    out = F
     for name, p in PATTERNS.items():
-        whole = value.rlike(f"^(?:{p})$")
-        out = F.when(whole, F.lit(name)) if out is None else out.when(whole, F.lit(name))
+        out = out.when(value.rlike(f"^(?:{p})$"), F.lit(name))
     return out
 
 
@@ -67,10 +82,11 @@ def _digits(value: Column) -> Column:
 
 def normal_form(kind: Column, value: Column) -> Column:
     """What makes two mentions one entity. A phone number keeps its country code, a name its gender and script by its form of address."""
+    gender = F.when(value.rlike(f"^{FEMALE}"), F.lit("f:")).otherwise(F.lit("m:"))
     return (
         F.when(kind == "email", F.lower(value)).when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
         .when(kind == "phone", F.concat(F.when(value.startswith("+"), F.lit("+")).otherwise(F.lit("")), _digits(value)))
-        .when(kind.isin("card", "ssn"), _digits(value)).when(kind == "name", F.concat(F.when(value.rlike(f"^{FEMALE}"), F.lit("f:")).otherwise(F.lit("m:")), _bare_name(value))).otherwise(value)
+        .when(kind.isin("card", "ssn"), _digits(value)).when(kind == "name", F.concat(gender, _bare_name(value))).otherwise(value)
     )
 
 
@@ -84,36 +100,31 @@ def _script(value: Column) -> Column:
 
 def _stream(*parts: Column) -> Column:
     """256 keyed hexadecimal characters."""
-    seed = F.concat_ws("|", *parts)
-    return F.concat(F.sha2(seed, 512), F.sha2(F.concat(F.lit("more|"), seed), 512))
+    return _let(F.concat_ws("|", *parts), lambda seed: F.concat(F.sha2(seed, 512), F.sha2(F.concat(F.lit("more|"), seed), 512)))
 
 
-def _nth(stream: Column, i: Column, n: int) -> Column:
+def _nth(stream: Column, i: Column | int, n: Column | int) -> Column:
     """A number below n from the stream's characters at i, three at a time."""
-    at = F.pmod(i * 3, F.lit(252)) + 1
-    return F.pmod(F.conv(F.substr(stream, at, F.lit(3)), 16, 10).cast("int"), F.lit(n))
+    at = F.lit(i * 3 % 252 + 1) if isinstance(i, int) else F.pmod(i * 3, F.lit(252)) + 1
+    return F.pmod(F.conv(F.substr(stream, at, F.lit(3)), 16, 10).cast("int"), F.lit(n) if isinstance(n, int) else n)
 
 
-def _letters(stream: Column, value: Column, script: Column | None = None) -> Column:
+def _letters(stream: Column, value: Column) -> Column:
     """``value`` with its letters and digits exchanged for others of their case and script."""
-    script = _script(value) if script is None else script
 
-    def one(c: Column, i: Column) -> Column:
-        low = None
-        for name, letters in ALPHABETS.items():
-            pick = F.substr(F.lit(letters), _nth(stream, i, len(letters)) + 1, F.lit(1))
-            low = F.when(script == name, pick) if low is None else low.when(script == name, pick)
-        return F.when(c.rlike("[0-9]"), _nth(stream, i, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(low)).when(c.rlike(r"\p{L}"), low).otherwise(c)
-
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    def exchanged(alphabet: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            low = F.substr(alphabet, _nth(stream, i, F.length(alphabet)) + 1, F.lit(1))
+            return F.when(c.rlike("[0-9]"), _nth(stream, i, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(low)).when(c.rlike(r"\p{L}"), low).otherwise(c)
 
+        return F.array_join(F.transform(F.split(value, ""), one), "")
 
-def _numbers(stream: Column, n: Column) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: _nth(stream, i, 10).cast("string")), "")
+    return _let(_choose({k: F.lit(v) for k, v in ALPHABETS.items()}, _script(value)), exchanged)
 
 
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of digits; a valid number's is a multiple of ten."""
+
     def one(d: Column, i: Column) -> Column:
         twice = d.cast("int") * 2
         return F.when(F.pmod(F.length(digits) - 1 - i, F.lit(2)) == 1, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d.cast("int"))
@@ -121,8 +132,9 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), one), F.lit(0), lambda a, x: a + x)
 
 
-def _weave(value: Column, digits: Column) -> Column:
+def _woven(value: Column, digits: Column) -> Column:
     """``value`` with its digits exchanged, in order, for those of ``digits``."""
+
     def one(c: Column, i: Column) -> Column:
         seen = F.length(_digits(F.substr(value, F.lit(1), i + 1)))
         return F.when(c.rlike("[0-9]"), F.substr(digits, seen, F.lit(1))).otherwise(c)
@@ -134,73 +146,99 @@ def _weave(value: Column, digits: Column) -> Column:
 _COUNTRY = r"^\+?(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
-def _new_digits(key: Column, kind: Column, norm: Column, attempt: Column) -> Column:
-    """Digits for the digits of an entity's normal form, equally many."""
-    old, stream = _digits(norm), _stream(key, kind, norm, attempt.cast("string"))
-    n = F.length(old)
-    fresh = _numbers(stream, n)
-    code = F.when(norm.startswith("+"), F.regexp_extract(norm, _COUNTRY, 1)).otherwise(F.lit(""))
-    rest = n - F.length(code)
-    lead = (_nth(stream, F.lit(70), 8) + 2).cast("string")
-    phone = F.concat(code, F.when(rest > 0, F.concat(lead, F.substr(fresh, F.lit(2), rest - 1))).otherwise(F.lit("")))
-    body = F.concat(F.substr(old, F.lit(1), F.lit(1)), F.substr(fresh, F.lit(2), n - 2))
-    check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    # A number that isn't valid gets another last digit than the valid one.
-    last = F.when(F.pmod(_luhn(old), F.lit(10)) == 0, check).otherwise(F.pmod(check + 1 + _nth(stream, F.lit(71), 9), F.lit(10)))
-    card = F.concat(body, last.cast("string"))
-    ssn = F.concat(F.lpad((_nth(stream, F.lit(72), 899) + 1).cast("string"), 3, "0"), F.lpad((_nth(stream, F.lit(73), 99) + 1).cast("string"), 2, "0"), F.lpad((_nth(stream, F.lit(74), 4000) + F.lit(1)).cast("string"), 4, "0"))
-    return F.when(kind == "phone", phone).when(kind == "card", card).otherwise(ssn)
+def _new_phone(stream: Column, norm: Column) -> Column:
+    """The country code, then a digit from 2 to 9, then any digits."""
+    plus = F.when(norm.startswith("+"), F.regexp_extract(norm, _COUNTRY, 0)).otherwise(F.lit(""))
 
+    def rest(head: Column) -> Column:
+        fresh = F.transform(F.split(F.substr(norm, F.length(head) + 1), ""), lambda c, i: F.when(i == 0, (_nth(stream, 0, 8) + 2).cast("string")).otherwise(_nth(stream, i, 10).cast("string")))
+        return F.concat(head, F.when(F.length(norm) > F.length(head), F.array_join(fresh, "")).otherwise(F.lit("")))
 
-def _family_name(stream: Column, syllables: list[str]) -> Column:
-    pick = F.array(*map(F.lit, syllables))
-    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(pick, _nth(stream, i, len(syllables)) + 1)), ""))
+    return _let(plus, rest)
 
 
-def canonical(key: Column, kind: Column, norm: Column, attempt: Column) -> Column:
-    """The surrogate of a normal form, itself in normal form."""
-    stream = _stream(key, kind, norm, attempt.cast("string"))
-    domain = F.regexp_extract(norm, "@(.*)$", 1)
-    # Of a domain the last label stays, and a reserved example domain; the rest is the same for all its addresses.
-    tail = F.when(domain.rlike(r"(?:^|\.)example\.\p{L}+$"), F.regexp_extract(domain, r"(\.?example\.\p{L}+)$", 1)).otherwise(F.regexp_extract(domain, r"(\.\p{L}+)$", 1))
-    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
-    email = F.concat(_letters(stream, F.regexp_extract(norm, "^([^@]*)@", 1)), F.lit("@"), F.when(F.length(host) > 0, _letters(_stream(key, F.lit("domain"), host), host)).otherwise(host), tail)
-    part = lambda k, low, n: (_nth(stream, F.lit(k), n) + low).cast("string")
+def _new_card(stream: Column, norm: Column) -> Column:
+    """The first digit stays; the last makes the number valid just if it was."""
+    n = F.length(norm)
+    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.array_join(F.transform(F.sequence(F.lit(2), n - 1), lambda i: _nth(stream, i, 10).cast("string")), ""))
+
+    def closed(body: Column) -> Column:
+        check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
+        last = _let(check, lambda c: F.when(F.pmod(_luhn(norm), F.lit(10)) == 0, c).otherwise(F.pmod(c + 1 + _nth(stream, 71, 9), F.lit(10))))
+        return F.concat(body, last.cast("string"))
+
+    return _let(body, closed)
+
+
+def _new_email(key: Column, stream: Column, norm: Column) -> Column:
+    """Of the domain the last label stays, and a reserved example domain; the rest is the same for all its addresses."""
+
+    def with_tail(domain: Column, tail: Column) -> Column:
+        host = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
+        fresh = _let(host, lambda h: F.when(F.length(h) > 0, _let(_stream(key, F.lit("domain"), h), lambda st: _letters(st, h))).otherwise(h))
+        return F.concat(_letters(stream, F.regexp_extract(norm, "^([^@]*)@", 1)), F.lit("@"), fresh, tail)
+
+    def with_domain(domain: Column) -> Column:
+        tail = F.when(domain.rlike(r"(?:^|\.)example\.\p{L}+$"), F.regexp_extract(domain, r"(\.?example\.\p{L}+)$", 1)).otherwise(F.regexp_extract(domain, r"(\.\p{L}+)$", 1))
+        return _let(tail, lambda t: with_tail(domain, t))
+
+    return _let(F.regexp_extract(norm, "@(.*)$", 1), with_domain)
+
+
+def _new_ip(stream: Column, norm: Column) -> Column:
+    """A private network's head stays; other addresses get another public one."""
+    part = lambda k, low, n: (_nth(stream, k, n) + low).cast("string")
     private = F.regexp_extract(norm, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)", 1)
-    public = F.concat(F.when(_nth(stream, F.lit(0), 2) == 0, part(1, 11, 89)).otherwise(part(1, 193, 30)), F.lit("."))
-    head = F.when(private != "", private).otherwise(public)
-    left = 4 - (F.length(head) - F.length(F.replace(head, F.lit("."), F.lit(""))))
-    ip = F.concat(head, F.array_join(F.slice(F.array(part(2, 1, 254), part(3, 1, 254), part(4, 1, 254)), F.lit(1), left), "."))
-    iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), _letters(stream, F.substr(norm, F.lit(3)), F.lit("latin")))
+    public = F.concat(F.when(_nth(stream, 0, 2) == 0, part(1, 11, 89)).otherwise(part(1, 193, 30)), F.lit("."))
+    left = lambda head: 4 - F.length(F.regexp_replace(head, "[^.]", ""))
+    tail = F.array(part(2, 1, 254), part(3, 1, 254), part(4, 1, 254))
+    return _let(F.when(private != "", private).otherwise(public), lambda head: F.concat(head, F.array_join(F.slice(tail, F.lit(1), left(head)), ".")))
+
+
+def _new_ssn(stream: Column) -> Column:
+    return F.concat(F.lpad((_nth(stream, 0, 899) + 1).cast("string"), 3, "0"), F.lpad((_nth(stream, 1, 99) + 1).cast("string"), 2, "0"), F.lpad((_nth(stream, 2, 4000) + 1).cast("string"), 4, "0"))
+
+
+def _new_name(stream: Column, norm: Column) -> Column:
+    """Gender mark, a given name of that gender if there was one, and a family name of four syllables."""
     bare = F.substr(norm, F.lit(3))
-    script, female = _script(bare), norm.startswith("f:")
-    given = family = None
-    for s in GIVEN:
-        names = F.when(female, F.array(*map(F.lit, GIVEN[s]["f"]))).otherwise(F.array(*map(F.lit, GIVEN[s]["m"])))
-        g = F.element_at(names, _nth(stream, F.lit(0), 8) + 1)
-        f = _family_name(stream, SYLLABLES[s])
-        given = F.when(script == s, g) if given is None else given.when(script == s, g)
-        family = F.when(script == s, f) if family is None else family.when(script == s, f)
-    name = F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.when(F.contains(bare, F.lit(" ")), F.concat(given, F.lit(" "), family)).otherwise(family))
-    number = F.concat(F.when(norm.startswith("+"), F.lit("+")).otherwise(F.lit("")), _new_digits(key, kind, norm, attempt))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "name", name).otherwise(number)
+    words = lambda of: _choose({s: F.array(*map(F.lit, of(s))) for s in ("cyrillic", "greek", "latin")}, _script(bare))
+    names = F.when(norm.startswith("f:"), words(lambda s: GIVEN[s]["f"])).otherwise(words(lambda s: GIVEN[s]["m"]))
+    given = F.element_at(names, _nth(stream, 0, 8) + 1)
+    family = _let(words(SYLLABLES.get), lambda w: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(w, _nth(stream, i, 16) + 1)), "")))
+    return F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.when(F.contains(bare, F.lit(" ")), F.concat(given, F.lit(" "))).otherwise(F.lit("")), family)
+
+
+def canonical(key: Column, kind: Column, norm: Column, attempt: Column) -> Column:
+    """The surrogate of a normal form, itself in normal form."""
+
+    def by_kind(stream: Column) -> Column:
+        iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), _letters(stream, F.substr(norm, F.lit(3))))
+        made = {"email": _new_email(key, stream, norm), "ip": _new_ip(stream, norm), "iban": iban, "phone": _new_phone(stream, norm), "card": _new_card(stream, norm), "ssn": _new_ssn(stream), "name": _new_name(stream, norm)}
+        return _choose(made, kind)
+
+    return _let(_stream(key, kind, norm, attempt.cast("string")), by_kind)
 
 
 def in_format(kind: Column, value: Column, surrogate: Column) -> Column:
     """A normal-form surrogate written the way ``value`` is."""
-    spaced = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(surrogate, F.length(F.replace(F.substr(value, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
-    return (
-        F.when(kind.isin("phone", "card", "ssn"), _weave(value, _digits(surrogate))).when(kind == "iban", spaced)
-        .when(kind == "name", F.concat(F.regexp_extract(value, rf"^((?:{FEMALE}|{MALE})\.?\x20)", 1), F.substr(surrogate, F.lit(3))))
-        .when((kind == "email") & (value == F.upper(value)), F.upper(surrogate)).otherwise(surrogate)
-    )
+
+    def written(s: Column) -> Column:
+        spaced = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(s, F.length(F.replace(F.substr(value, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
+        return (
+            F.when(kind.isin("phone", "card", "ssn"), _woven(value, _digits(s))).when(kind == "iban", spaced)
+            .when(kind == "name", F.concat(F.regexp_extract(value, rf"^((?:{FEMALE}|{MALE})\.?\x20)", 1), F.substr(s, F.lit(3))))
+            .when((kind == "email") & (value == F.upper(value)), F.upper(s)).otherwise(s)
+        )
+
+    return _let(surrogate, written)
 
 
 def _found(text: Column) -> Column:
     """Array of (kind, value, norm) of a text's entities in order."""
+
     def one(v: Column) -> Column:
-        kind = kind_of(v)
-        return F.struct(kind.alias("kind"), v.alias("value"), normal_form(kind, v).alias("norm"))
+        return _let(kind_of(v), lambda kind: F.struct(kind.alias("kind"), v.alias("value"), normal_form(kind, v).alias("norm")))
 
     return F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), one)
 
