@@ -72,7 +72,9 @@ def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
     rates = {"symbols_pm": ("n_symbols", "n_words"), "dup_lines_pm": ("n_dup_lines", "_lines"), "repeats_pm": ("n_repeat_words", "n_words"), "upper_pm": ("_upper", "word_chars"), "bangs_pm": ("_bangs", "n_words"), "word_len_pm": ("word_chars", "n_words")}
     for name, (a, b) in rates.items():
         out = out.withColumn(f"{prefix}{name}", rate(a, b))
-    return out.drop(*[f"{p}{k}" for k in ("w", "n", "h", "s", "at", "l", "j")], *[f"{prefix}{k}" for k in ("_lines", "_upper", "_bangs")])
+    # Filters on what a generator gives are not pushed below it, where they would work out the measures again and again.
+    made = [f"{prefix}{k}" for k in (*_FEATURES, "base_failed", *rates)]
+    return out.select(*docs.columns, F.explode(F.array(F.struct(*made))).alias(f"{p}all")).select(*docs.columns, f"{p}all.*")
 
 
 def bucket(value: str) -> Column:
