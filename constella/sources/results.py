@@ -86,6 +86,36 @@ def read_legacy_caches(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
+def legacy_images(caches: DataFrame) -> DataFrame:
+    """(image_key, raster) of valid caches: version 1 from its nested list, version 2 from the array file beside it. A file that doesn't fit gives null."""
+    import numpy as np
+    import pyarrow as pa
+
+    from constella.functions import codecs
+
+    spark = caches.sparkSession
+    valid = caches.filter("valid").select(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))).alias("image_key"), "version", "image_cache_file", "image_shape", "image_dtype", "image_data")
+    valid = valid.withColumn("path", F.concat(N.parent("image_key"), F.lit("/"), "image_cache_file"))
+    folders = [r[0] for r in valid.select(N.parent("image_key")).distinct().collect()]  # one row per directory of caches
+    if folders:
+        arrays = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folders).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+        valid = valid.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(arrays, "path", "left")
+    else:
+        valid = valid.withColumn("content", F.lit(None).cast("binary"))
+    kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
+
+    def decode(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                image = np.array(row["image_data"], np.uint8) if row["version"] == 1 else codecs.npy(row["content"], row["image_shape"], row["image_dtype"]) if row["content"] else None
+                image = image[..., None] if image is not None and image.ndim == 2 else image
+                out.append(None if image is None else {"height": image.shape[0], "width": image.shape[1], "channels": image.shape[2], "data": np.ascontiguousarray(image, np.uint8).tobytes()})
+            yield pa.record_batch([batch.column(0), pa.array(out, kind)], ["image_key", "raster"])
+
+    return valid.select("image_key", "version", "image_shape", "image_dtype", "image_data", "content").mapInArrow(decode, f"image_key string, raster {schemas.RASTER}")
+
+
 def legacy_particles(caches: DataFrame) -> DataFrame:
     """One row per cached particle; neighbours stay identifiers."""
     p = caches.filter("valid").select("file", F.explode("particles").alias("p"))

@@ -6,7 +6,7 @@ import pytest
 from constella import __main__ as cli
 from constella.functions import codecs
 from constella.operators import rollups
-from constella.plans import batch
+from constella.plans import approval, batch
 from constella.sources import images as sources, results
 
 DOTS = [(30, 30, 4), (44, 30, 3), (30, 52, 3), (60, 64, 3)]
@@ -96,7 +96,11 @@ def test_legacy_caches(spark, tmp_path):
     for k, v in cases.items():
         (tmp_path / f"{k}_processed_data.json").write_text(json.dumps(v))
     (tmp_path / "bad_processed_data.json").write_text("{")
+    np.save(tmp_path / "x.npy", np.ones((5, 6, 3), np.uint8))
     caches = results.read_legacy_caches(spark, f"file://{tmp_path}")
+    images = {r.image_key.rpartition("/")[2].removesuffix("_processed_data.json"): r.raster for r in results.legacy_images(caches).collect()}
+    assert images.keys() == {"ok", "old", "u_redsquare0"} and (images["ok"].height, images["old"].channels) == (5, 3)
+    assert codecs.npy(b"broken", [1, 1], "uint8") is None and codecs.npy((tmp_path / "x.npy").read_bytes(), [5, 6, 4], "uint8") is None
     valid = {r.file.rpartition("/")[2].removesuffix("_processed_data.json") for r in caches.filter("valid").collect()}
     assert valid == {"ok", "old", "u_redsquare0"}
     p = results.legacy_particles(caches).first()
@@ -110,3 +114,15 @@ def test_overrides_and_paging(spark):
     assert out == {0: (999.0, 5.0), 1: (9.0, 9.0), 2: (7.0, 7.0), 3: (999.0, 9.0)}
     ordered = rollups.ranked_rows(rows, "1", "1")
     assert [r.ord for r in ordered.collect()] == [1, 3, 2, 0] and [r.ord for r in rollups.page(ordered, 5, 3).collect()] == [0]
+
+
+def test_decisions(spark, tmp_path):
+    kind = "red_square string, green_square string, percentage double, distance double, base_score double, completeness_ratio double, geometry_consistency double, individual_scores array<double>, particle_details string, ord long"
+    for d in "ab":
+        rows = spark.createDataFrame([("1", "2", p, float(k), 1.0, 1.0, 1.0, [], f'{{"id": {k}}}', k) for k, p in enumerate([5.0, 9.0])], kind)
+        results.write_percentages(rows, f"file://{tmp_path}/{d}/data/percentage_data.csv")
+    shown = approval.candidates(results.read_all(spark, f"file://{tmp_path}")).collect()
+    assert sorted((r.percentage, r["index"]) for r in shown) == [("9.000000", 0)] * 2
+    best = approval.apply(spark, f"file://{tmp_path}", spark.createDataFrame([("a", "1", "2", 1)], approval.DECISION))[1]
+    got = {r.sample_dir: r.percentage for r in results.read_csv(spark, best, "sample_dir string, " + results.schemas.PERCENTAGE_CSV).collect()}
+    assert got == {"a": "999.000000", "b": "9.000000"}
