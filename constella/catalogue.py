@@ -141,8 +141,7 @@ def assignment_top3(spark, sf):
 
 @_query("geometry_consistency", _TOP3 + " SELECT red_image, green_image, anchor_id, round(geometry, 6) AS geometry_consistency FROM geo")
 def geometry_consistency(spark, sf):
-    relations, _, matches = _top3(spark, sf)
-    return _rounded(M.geometry_consistency(matches, relations), "geometry_consistency")
+    return _rounded(M.geometry_consistency(_top3(spark, sf)[2]), "geometry_consistency")
 
 
 @_query("match_percentage", _TOP3 + " SELECT red_image, green_image, anchor_id, round(base * complete * geometry, 6) AS percentage, round(base, 6) AS base_score, round(complete, 6) AS completeness_ratio, round(geometry, 6) AS geometry_consistency FROM pct")

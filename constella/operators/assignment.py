@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from constella import constants as K
 
@@ -79,32 +79,26 @@ def assign(options: list[list[tuple[int, float]]], skip: float = K.SKIP_COST) ->
 
 
 def assignment(candidates: DataFrame) -> DataFrame:
-    """The candidate rows that are chosen: (key, relation_no, candidate_id, distance).
+    """The candidate rows that are chosen, with ``second``, the distance of the nearest other candidate of their relation.
 
-    ``candidates`` has a row per (red_image, green_image, anchor_id, relation_no, candidate_id) with its distance.
+    ``candidates`` has a row per (red_image, green_image, anchor_id, relation_no, candidate_id) with its distance;
+    further columns are carried along. The candidates are read once: an anchor's options travel together.
     """
-    nearest = F.min(F.struct("distance", "candidate_id"))
-    by_relation = candidates.groupBy(*KEY, "relation_no").agg(nearest.alias("best"), F.sort_array(F.collect_list(F.struct("candidate_id", "distance"))).alias("options"))
+    carried = [c for c in candidates.columns if c not in (*KEY, "relation_no", "candidate_id", "distance")]
+    option = F.struct("candidate_id", "distance", *carried)
+    by_relation = candidates.groupBy(*KEY, "relation_no").agg(F.min(F.struct("distance", "candidate_id")).alias("best"), F.sort_array(F.collect_list(option)).alias("options"))
     anchors = by_relation.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("relation_no", "best", "options"))).alias("rel"))
     distinct = F.size(F.array_distinct(F.transform("rel", lambda x: x["best"]["candidate_id"]))) == F.size("rel")
-    picked = F.transform("rel", lambda x: F.struct(x["relation_no"].alias("relation_no"), x["best"]["candidate_id"].alias("candidate_id"), x["best"]["distance"].alias("distance")))
-    simple = anchors.filter(distinct).select(*KEY, F.explode(picked).alias("x")).select(*KEY, "x.*")
+    simple = anchors.filter(distinct).withColumn("chosen", F.transform("rel", lambda x: x["best"]["candidate_id"].cast("long")))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, numbers, cands, dists = [], [], [], []
-            for k, rel in enumerate(batch.column(len(KEY)).to_pylist()):
-                options = [[(o["candidate_id"], o["distance"]) for o in r["options"]] for r in rel]
-                for r, own, cand in zip(rel, options, assign(options), strict=True):
-                    if cand is not None:
-                        rows.append(k)
-                        numbers.append(r["relation_no"])
-                        cands.append(cand)
-                        dists.append(dict(own)[cand])
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(KEY)]), pa.array(numbers, pa.int32()), pa.array(cands, pa.int64()), pa.array(dists, pa.float64())], [*KEY, "relation_no", "candidate_id", "distance"])
-
-    kinds = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in KEY)
-    hard = anchors.filter(~distinct).select(*KEY, "rel").mapInArrow(solve, f"{kinds}, relation_no int, candidate_id long, distance double")
-    types = {f.name: f.dataType for f in hard.schema}
-    return simple.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()]).unionByName(hard)
+            chosen = [assign([[(o["candidate_id"], o["distance"]) for o in r["options"]] for r in rel]) for rel in batch.column(len(KEY)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.list_(pa.int64()))], [*KEY, "rel", "chosen"])
+
+    hard = anchors.filter(~distinct).mapInArrow(solve, T.StructType([*anchors.schema.fields, T.StructField("chosen", T.ArrayType(T.LongType()))]))
+    rows = simple.unionByName(hard).select(*KEY, F.explode(F.arrays_zip("rel", "chosen")).alias("x")).filter("x.chosen is not null")
+    rows = rows.select(*KEY, F.col("x.rel.relation_no").alias("relation_no"), F.col("x.rel.options").alias("options"), F.col("x.chosen").alias("chosen"))
+    pick = F.filter("options", lambda o: o["candidate_id"] == F.col("chosen"))[0]
+    second = F.array_min(F.transform(F.filter("options", lambda o: o["candidate_id"] != F.col("chosen")), lambda o: o["distance"]))
+    return rows.select(*KEY, "relation_no", pick.alias("p"), second.alias("second")).select(*KEY, "relation_no", "p.*", "second")

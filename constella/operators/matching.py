@@ -38,46 +38,61 @@ def nearest_scores(found: DataFrame) -> DataFrame:
 
 
 def matched(found: DataFrame) -> DataFrame:
-    """The assignment with each chosen candidate's score and the second-best distance."""
-    chosen = assignment(found)
-    on = [*KEY, "relation_no"]
-    rivals = found.select(*on, F.col("candidate_id").alias("other"), F.col("distance").alias("other_distance")).join(chosen.select(*on, "candidate_id"), on).filter("other <> candidate_id")
-    second = rivals.groupBy(*on).agg(F.min("other_distance").alias("second"))
-    places = found.select(*on, "candidate_id", "want_row", "want_col", "center_row", "center_col")
-    out = chosen.join(places, [*on, "candidate_id"]).join(second, on, "left")
-    return out.withColumn("score", G.deviation_score("distance") * G.selectivity("distance", "second"))
+    """The assignment with each chosen candidate's score."""
+    return assignment(found).withColumn("score", G.deviation_score("distance") * G.selectivity("distance", "second"))
 
 
-def geometry_consistency(matches: DataFrame, relations: DataFrame) -> DataFrame:
+def _by_anchor(matches: DataFrame) -> DataFrame:
+    """One row per template and anchor with its matches in relation order."""
+    columns = ["relation_no", "candidate_id", "score", "want_row", "want_col", "center_row", "center_col"]
+    return matches.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("m"))
+
+
+def _mean(values):
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def _geometry(m):
+    """Mean agreement over pairs; points looked for lie apart as the template's particles do."""
+
+    def with_later(x, i):
+        later = F.slice(m, i + 2, F.size(m))
+        return F.transform(later, lambda y: G.stretch_score(G.distance(x["want_row"], x["want_col"], y["want_row"], y["want_col"]), G.distance(x["center_row"], x["center_col"], y["center_row"], y["center_col"])))
+
+    return F.coalesce(_mean(F.filter(F.flatten(F.transform(m, with_later)), lambda v: v.isNotNull())), F.lit(1.0))
+
+
+def _offset(m):
+    return _mean(F.transform(m, lambda x: F.abs(x["center_col"] - x["want_col"]).cast("double")))
+
+
+def geometry_consistency(matches: DataFrame) -> DataFrame:
     """Mean agreement of pairwise distances of matched particles in template and field; 1 without a pair."""
-    placed = matches.select(*KEY, "relation_no", "center_row", "center_col").join(relations.select("red_image", "relation_no", "dr", "dc"), ["red_image", "relation_no"])
-    whole = placed.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("relation_no", "dr", "dc", "center_row", "center_col"))).alias("m"))
-    a, b = F.col("x"), F.col("y")
-    source = G.distance(a["dr"], a["dc"], b["dr"], b["dc"])
-    target = G.distance(a["center_row"], a["center_col"], b["center_row"], b["center_col"])
-    pairs = whole.withColumn("x", F.explode("m")).withColumn("y", F.explode("m")).filter("x.relation_no < y.relation_no").select(*KEY, G.stretch_score(source, target).alias("s"))
-    means = pairs.groupBy(*KEY).agg(F.avg("s").alias("mean"))
-    return whole.select(*KEY).join(means, KEY, "left").select(*KEY, F.coalesce("mean", F.lit(1.0)).alias("geometry_consistency"))
+    return _by_anchor(matches).select(*KEY, _geometry(F.col("m")).alias("geometry_consistency"))
 
 
 def horizontal_distance(matches: DataFrame) -> DataFrame:
     """Mean absolute column offset of matched particles from where they were looked for."""
-    return matches.groupBy(*KEY).agg(F.avg(F.abs(F.col("center_col") - F.col("want_col"))).alias("horizontal_distance"))
+    return _by_anchor(matches).select(*KEY, _offset(F.col("m")).alias("horizontal_distance"))
 
 
 def percentages(relations: DataFrame, fields: DataFrame, matches: DataFrame) -> DataFrame:
     """One row per template and anchor: mean score times completeness times geometry; 0 where nothing matched."""
     expected = relations.groupBy("red_image").agg(F.count(F.lit(1)).alias("expected"), F.first("sample_dir").alias("sample_dir"))
     every = fields.select("sample_dir", F.col("image_key").alias("green_image"), F.col("particle_id").alias("anchor_id")).join(expected, "sample_dir").drop("sample_dir")
-    # Unmatched relations stand as 0 in the list of scores, in relation order.
-    means = matches.groupBy(*KEY).agg(F.avg("score").alias("base"), F.count(F.lit(1)).alias("n"), F.map_from_entries(F.collect_list(F.struct("relation_no", "score"))).alias("by"), F.sort_array(F.collect_list("candidate_id")).alias("matched_ids"))
-    out = every.join(means, KEY, "left").join(geometry_consistency(matches, relations), KEY, "left").join(horizontal_distance(matches), KEY, "left")
-    base, geometry = F.coalesce("base", F.lit(0.0)), F.coalesce("geometry_consistency", F.lit(0.0))
+    m = F.col("m")
+    measured = _by_anchor(matches).select(
+        *KEY, _mean(F.transform(m, lambda x: x["score"])).alias("base"), F.size(m).alias("n"), _geometry(m).alias("geometry"), _offset(m).alias("offset"),
+        F.map_from_entries(F.transform(m, lambda x: F.struct(x["relation_no"], x["score"]))).alias("by"), F.array_sort(F.transform(m, lambda x: x["candidate_id"])).alias("matched_ids"),
+    )
+    out = every.join(measured, KEY, "left")
+    base, geometry = F.coalesce("base", F.lit(0.0)), F.coalesce("geometry", F.lit(0.0))
     complete = F.coalesce(F.col("n") / F.col("expected"), F.lit(0.0))
+    # Unmatched relations stand as 0 in the list of scores, in relation order.
     scores = F.when(F.col("n").isNull(), F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(1), F.col("expected").cast("int")), lambda k: F.coalesce(F.col("by")[k], F.lit(0.0))))
     return out.select(
         *KEY, (base * complete * geometry).alias("percentage"), base.alias("base_score"), complete.alias("completeness_ratio"), geometry.alias("geometry_consistency"),
-        F.coalesce("horizontal_distance", F.lit(0.0)).alias("horizontal_distance"), scores.alias("individual_scores"), F.coalesce("matched_ids", F.array().cast("array<bigint>")).alias("matched_ids"),
+        F.coalesce("offset", F.lit(0.0)).alias("horizontal_distance"), scores.alias("individual_scores"), F.coalesce("matched_ids", F.array().cast("array<bigint>")).alias("matched_ids"),
     )
 
 
