@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +10,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Spark's setting that deletes a query's shuffle files when it ends; those behind a written table are of no further use.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -18,6 +17,10 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one is made only for local masters that name none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if found and "://" not in found:
+        # A bare path means the cluster's default store; writers that don't go through Spark need its name, too.
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        found = re.sub("^file:/+", "file:///", p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString())
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

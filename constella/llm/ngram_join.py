@@ -287,3 +287,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_classes(_store.table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, their overlaps, and what links reach, for DuckDB on small tables.
+ORACLE_SQL = """
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, hash(shingle) AS sh FROM (SELECT r, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: ws[i:i + 4])) AS shingle FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT r, r AS t FROM w UNION SELECT reach.r, e.y FROM reach JOIN e ON reach.t = e.x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM w LEFT JOIN n USING (r) JOIN (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN w o ON o.r = reach.t GROUP BY reach.r) m USING (r)
+"""

@@ -16,6 +16,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_secret_scans": secrets.ORACLE_SQL,
+    "op1_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+    "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
     "op2_warc": warc.ORACLE_SQL,
 }

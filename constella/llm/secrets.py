@@ -110,3 +110,32 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(_store.table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:3]))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), "n_linked")
+
+
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: A bare key is a whole run of its characters and of those that may not stand beside it; DuckDB's patterns look neither way.
+_SQL_RUN = "[A-Za-z0-9+/=_-]{40,}"
+_SQL_PARTS = " UNION ALL ".join(
+    f"SELECT r, {k} AS kind, regexp_extract_all(t, {_sql_text(p)}) AS m, regexp_extract_all(t, {_sql_text(p)}, {2 if k == 0 else 0}) AS v, regexp_split_to_array(t, {_sql_text(p)}) AS g FROM d WHERE regexp_matches(t, {_sql_text(p)})"
+    for k, p in enumerate([ASSIGN, ACCESS, HEX, _SQL_RUN, ENDPOINT])
+)
+_SQL_NEAR = f"(0 <= a.s - b.e AND a.s - b.e <= {SCOPE} OR 0 <= b.s - a.e AND b.s - a.e <= {SCOPE})"
+_SQL_LIST = "string_agg(concat(CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' WHEN 3 THEN 'key' ELSE 'endpoint' END, ':', s, ':', e), ',' ORDER BY s, kind)"
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({_SQL_PARTS}),
+y AS (SELECT r, kind, unnest(range(1, len(m) + 1)) AS i, m, v, g FROM x),
+z AS (SELECT r, kind, sum(length(g[i]) + length(m[i])) OVER (PARTITION BY r, kind ORDER BY i) AS e, length(m[i]) AS n, v[i] AS v FROM y),
+p AS (SELECT r, kind, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM z WHERE CASE kind WHEN 0 THEN length(v) >= {ASSIGN_LEAST} WHEN 3 THEN regexp_full_match(v, '[A-Za-z0-9+/]{{40}}') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') ELSE true END),
+base AS (SELECT * FROM p WHERE kind < 3),
+keys AS (SELECT * FROM p a WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = a.r AND a.s < b.e AND b.s < a.e) AND EXISTS (SELECT 1 FROM base b WHERE b.r = a.r AND b.kind = 1 AND {_SQL_NEAR})),
+strong AS (SELECT * FROM base UNION ALL SELECT * FROM keys),
+ends AS (SELECT * FROM p a WHERE kind = 4 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = a.r AND b.kind > 0 AND a.s < b.e AND b.s < a.e) AND EXISTS (SELECT 1 FROM strong b WHERE b.r = a.r AND {_SQL_NEAR})),
+f AS (SELECT * FROM strong UNION ALL SELECT * FROM ends),
+a AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind > 2) AS n_linked, coalesce({_SQL_LIST} FILTER (kind < 3), '') AS base, {_SQL_LIST} AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN a USING (r)
+"""

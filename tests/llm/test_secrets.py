@@ -59,3 +59,20 @@ def test_digest_and_empty_table(spark):
     for r in rows:
         line = ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in brute(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_sql_finds_the_same():
+    duckdb = __import__("pytest").importorskip("duckdb")
+    r = np.random.default_rng(5)
+    bits = ["token", "=", " ", '"', "abc123", "AKIA", "Q7" * 9, "0a" * 13, ":", "aB3+" * 10, "https://h.example/p", "é", "secret", "\n", "api_key", "y " * 120]
+    texts = [None, "", *["".join(r.choice(bits, int(r.integers(0, 60)))) for _ in range(150)]]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    rows = con.sql(S.ORACLE_SQL)
+    got = {x[0]: dict(zip(rows.columns, x, strict=True)) for x in rows.fetchall()}
+    for k, t in enumerate(texts):
+        base, more = brute(t), weak(t, S.SCOPE)
+        line = lambda spans: ",".join(f"{S.KINDS[j]}:{s}:{e}" for s, j, e in sorted(spans))
+        assert got[k]["spans"] == line(base + more) and got[k]["n_linked"] == len(more)
+        assert got[k]["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest()
