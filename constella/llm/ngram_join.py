@@ -191,10 +191,10 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return moved.unionByName(joined.join(labels.select("node"), "node", "left_anti"))
 
 
-def _node_sets(docs: DataFrame, ranked: DataFrame, buckets: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, grams): the whole sets of the nodes in buckets, taken from one document each."""
-    wanted = buckets.select("node").distinct()
-    ids = ranked.filter("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+def _node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, grams): the whole sets of the nodes of pairs, taken from one document each."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = nodes.filter("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids.withColumnRenamed("_id", "_wanted"), F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi").select("_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,19 +242,23 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     n_rows, labels, judged = buckets.count(), None, None
     if not n_rows:
         return nodes, None
-    sets = _store.materialise(_node_sets(docs, nodes, buckets, id_col=id_col, text_col=text_col, width=width), "sets")
     for round_ in range(LEADER_ROUNDS + 1):
         rows = _labelled(buckets, labels) if labels is None else _store.materialise(_labelled(buckets, labels), "open")
         last = round_ > 0 and (round_ == LEADER_ROUNDS or _open_pairs(rows, percent) <= PAIRS_PER_ROW * n_rows)
         pairs = _all_pairs(rows, percent) if last else _leader_pairs(rows, round_, percent)
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        found = _store.materialise(_verified(pairs, sets, percent), "judged")
-        judged = found.select("a", "b") if judged is None else judged.unionByName(found.select("a", "b"))
-        labels = _store.materialise(_merged(labels, found.filter("linked").select("a", "b")), "labels")
+        pairs = _store.materialise(pairs, "pairs")
+        if pairs.take(1):
+            # Most nodes of buckets are in no pair that the filters let pass; their texts stay where they are.
+            sets = _store.materialise(_node_sets(docs, nodes, pairs, id_col=id_col, text_col=text_col, width=width), "sets")
+            found = _store.materialise(_verified(pairs, sets, percent), "judged")
+            _store.drop(sets)
+            judged = found.select("a", "b") if judged is None else judged.unionByName(found.select("a", "b"))
+            labels = _store.materialise(_merged(labels, found.filter("linked").select("a", "b")), "labels")
         if last:
             break
-    _store.drop(sets, buckets)
+    _store.drop(buckets)
     return nodes, labels
 
 
