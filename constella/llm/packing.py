@@ -184,4 +184,5 @@ def pack_documents(docs: DataFrame, tokenizer: str = "name:byte_bpe_50k.json", *
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_store.table(spark, sf_dir, "documents"), with_ids=False)
+    # The digest is taken of the ids that were placed; they go only now.
+    return pack_documents(_store.table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -28,8 +28,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are tokenised and packed into sequences: one row per piece."""
-    return packing.pack_documents(docs, with_ids=False)
+    """Documents are tokenised and packed into sequences: one row per piece, with its token ids."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [("quality_rules", good), ("ngram_jaccard_join", single), ("benchmark_decontamination", unspoilt), ("pii", private), ("best_fit_packing", packed)]

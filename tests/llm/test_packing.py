@@ -86,3 +86,13 @@ def test_documents_are_whole_and_sequences_gapless(spark):
 
 def test_empty_table(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_query_places_ids_and_takes_the_digest_of_them(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "word " * 3000), (2, "a b"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, pack = [], P.pack
+    monkeypatch.setattr(P, "pack", lambda pieces, *a, **k: seen.append(pack(pieces, *a, **k)) or seen[-1])
+    got = P.query(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    placed = {(r.doc_id, r.piece): zlib.crc32(r.ids) for r in seen[0].collect()}
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in got.collect()} == placed and len(placed) > 3

@@ -5,6 +5,10 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline as C
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 from constella.llm import _store
 
 from tests.llm import test_decontaminate as bench, test_ngram_join as near, test_quality as quality
@@ -55,3 +59,13 @@ def test_stages_take_nulls_and_empty_tables(spark):
     assert {r.doc_id for r in docs.collect()} == {1}
     for name, stage in C.STAGES[::2]:  # the others are tried on empty tables in their own tests
         assert stage(spark, some.limit(0), SF).count() == 0
+
+
+def test_sequences_can_be_built_from_the_last_stage(spark):
+    texts = {1: "word " * 3000, 2: "a b", 3: "don't"}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = sorted(C.STAGES[-1][1](spark, docs, SF).collect(), key=lambda r: (r.doc_id, r.piece))
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for k, t in texts.items():
+        ids = b"".join(r.ids for r in rows if r.doc_id == k)
+        assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
