@@ -174,6 +174,27 @@ def full_match_percentage(spark, sf):
     return M.top(M.percentages(relations, fields, M.matched(M.candidates(relations, fields))))
 
 
+def _full(spark, sf: str) -> DataFrame:
+    return M.matched(M.candidates(_near_relations(spark, sf), views.fields(spark, sf)))
+
+
+@_query("full_geometry_consistency")
+def full_geometry_consistency(spark, sf):
+    return _rounded(M.geometry_consistency(_full(spark, sf)), "geometry_consistency")
+
+
+@_query("full_avg_horizontal_distance")
+def full_avg_horizontal_distance(spark, sf):
+    return _rounded(M.horizontal_distance(_full(spark, sf)), "horizontal_distance")
+
+
+@_query("full_top16_matches")
+def full_top16_matches(spark, sf):
+    relations, fields = _near_relations(spark, sf), views.fields(spark, sf)
+    scored = M.percentages(relations, fields, M.matched(M.candidates(relations, fields)))
+    return M.top(_rounded(scored.select(*KEY, "percentage"), "percentage"))
+
+
 _RUN = """WITH ev AS (SELECT user_id AS sample_dir, event_id, CASE event_id % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' WHEN 3 THEN 'queued' END AS state, CAST(json_extract_string(props, '$.k') AS INTEGER) AS attempt FROM events),
 st AS (SELECT sample_dir, max_by(state, event_id) AS state, max(attempt) AS attempts FROM ev WHERE state IS NOT NULL AND sample_dir IS NOT NULL GROUP BY 1)"""
 

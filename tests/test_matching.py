@@ -93,3 +93,45 @@ def test_queries_agree_with_their_sql(spark):
         assert sorted(df.columns) == sorted(want.columns)
         columns = sorted(df.columns)
         assert _values(df.collect(), columns) == _values([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()], columns), name
+
+
+def test_full_queries_take_all_relations(spark, tmp_path):
+    # A primary with five neighbours within the radius, and one far beyond it; the field is a moved, disturbed copy.
+    red = [(500, 500, 900), (540, 500, 5), (460, 505, 5), (500, 544, 5), (503, 455, 5), (545, 545, 5), (900, 900, 5)]
+    green = [(r + 9 + k % 3, c - 7 + 2 * (k % 2), 5) for k, (r, c, _) in enumerate(red)] + [(552, 498, 5), (512, 540, 5)]
+    rows = [(k + 1, [(x + 0.5) / 1000 for x in (r, c, s)], label) for label, pts, first in ((5, red, 0), (1, green, 100)) for k, (r, c, s) in enumerate(pts, first)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = [p for p in red[1:6]]
+    want = {}
+    for anchor, (ar, ac, _) in enumerate(green, 101):
+        options, places = [], []
+        for r, c, _ in near:
+            wr, wc, reach = ar + r - 500, ac + c - 500, min(round(0.75 * np.hypot(r - 500, c - 500)), 50)
+            found = [(k, float(np.hypot(wr - q, wc - u))) for k, (q, u, _) in enumerate(green, 101) if np.hypot(wr - q, wc - u) < reach]
+            options.append(sorted(found, key=lambda x: x[1]))
+            places.append((wr, wc))
+        chosen = brute(options)
+        m = [(places[i], green[c - 101][:2], o, c) for i, (c, o) in enumerate(zip(chosen, options, strict=True)) if c is not None]
+        if not m:
+            want[anchor] = (0.0, None, None)
+            continue
+        scores = []
+        for _, _, o, c in m:
+            d, rivals = dict(o)[c], [x for k, x in o if k != c]
+            scores.append(100 * np.exp(-d / 20) * (np.exp(-(d / min(rivals)) / 0.5) if rivals and min(rivals) >= 1e-6 else 1))
+        pairs = [np.exp(-abs(np.hypot(*np.subtract(a[1], b[1])) / np.hypot(*np.subtract(a[0], b[0])) - 1)) for a, b in itertools.combinations(m, 2)]
+        geometry = np.mean(pairs) if pairs else 1.0
+        want[anchor] = (np.mean(scores) * len(m) / len(near) * geometry, geometry, np.mean([abs(g[1] - w[1]) for w, g, _, _ in m]))
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.anchor_id: r.percentage for r in run("full_top16_matches")} == pytest.approx({k: v[0] for k, v in want.items()}, abs=2e-6)
+    assert {r.anchor_id: r.geometry_consistency for r in run("full_geometry_consistency")} == pytest.approx({k: v[1] for k, v in want.items() if v[1] is not None}, abs=2e-6)
+    assert {r.anchor_id: r.horizontal_distance for r in run("full_avg_horizontal_distance")} == pytest.approx({k: v[2] for k, v in want.items() if v[1] is not None}, abs=2e-6)
+    assert max(r.relation_no for r in run("full_assignment")) == 5
+
+
+def test_the_entry_ranks_over_all_relations(spark):
+    import __spark_entry__
+
+    columns = ["red_image", "green_image", "anchor_id", "percentage", "rank"]
+    got, whole = __spark_entry__.entry(spark), catalogue.QUERIES["full_match_percentage"](spark, "/root/testdata/sf0.001")
+    assert [x[:3] for x in _values(got.filter("rank = 1").collect(), columns)] == [x[:3] for x in _values(whole.filter("rank = 1").collect(), columns)]
