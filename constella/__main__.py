@@ -48,9 +48,8 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _directory(spark, path: str, out: str, args) -> None:
-    cache = None if args.always_process or not _there(spark, f"{out}/processed") else f"{out}/processed"
-    if args.process_only or cache is None:
-        batch.process_images(sources.read_images(spark, path), args.opening).write.mode("overwrite").parquet(f"{out}/processed")
+    everything = args.process_only or args.always_process or not _there(spark, f"{out}/processed")
+    _process(spark, path, f"{out}/processed", args.opening, None if everything else f"{out}/processed")
     done = spark.read.parquet(f"{out}/processed")
     if args.process_only:
         return
@@ -62,9 +61,31 @@ def _directory(spark, path: str, out: str, args) -> None:
     ranked.unpersist()
 
 
+def _process(spark, path: str, out: str, opening: str, cache: str | None) -> None:
+    """Writes the processed table of a directory, aside and then into its place; valid rows of ``cache`` stay for images still there."""
+    if cache:
+        kept = spark.read.parquet(cache)
+        images = sources.read_images(spark, path)
+        todo = sources.unprocessed(images, kept)
+        valid = sources.processed(kept, kept).join(images.select("path"), "path", "left_semi")
+        if todo.isEmpty() and valid.count() == kept.count():
+            return
+        done = batch.process_images(todo, opening).unionByName(valid)
+    else:
+        done = batch.process_images(sources.read_images(spark, path), opening)
+    done.write.mode("overwrite").parquet(f"{out}.new")
+    fs, hadoop = _filesystem(spark, out), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.delete(hadoop(out), True)
+    if not fs.rename(hadoop(f"{out}.new"), hadoop(out)):
+        raise OSError(f"{out}.new can't be renamed")
+
+
+def _filesystem(spark, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _there(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return _filesystem(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
 
 
 def _uri(path: str) -> str:

@@ -79,6 +79,26 @@ def test_command_line_resumes(spark, root, tmp_path):
     assert summary["counts"] == {"skipped": 2} and summary["run_status"] == "completed"
 
 
+def test_command_line_looks_at_every_image_again(spark, tmp_path):
+    top, out = tmp_path / "in", tmp_path / "out"
+    d = top / "a"
+    d.mkdir(parents=True)
+    (d / "GB.s.m.10x.1mm.1.locations fixed.tif").write_bytes(codecs.tiff(picture((255, 0, 0), DOTS)))
+    (d / "GB.s.m.10x.1mm.tif").write_bytes(codecs.tiff(picture((0, 255, 0), DOTS)))
+    (d / "GB.s.m.10x.4mm.tif").write_bytes(b"broken")
+    args = [f"file://{top}", "--out", str(out)]
+    squares = lambda: {r.green_square for r in results.read_csv(spark, f"file://{next(out.glob('**/percentage_data.csv'))}").collect()}
+    assert cli.main(args) == 0 and squares() == {"1"}
+    # One image is mended, one is new, and one goes.
+    (d / "GB.s.m.10x.4mm.tif").write_bytes(codecs.tiff(picture((0, 255, 0), DOTS)))
+    (d / "GB.s.m.10x.2mm.tif").write_bytes(codecs.tiff(picture((0, 255, 0), DOTS)))
+    assert cli.main(args) == 0 and squares() == {"1", "2", "4"}
+    (d / "GB.s.m.10x.1mm.tif").unlink()
+    assert cli.main(args) == 0 and squares() == {"2", "4"}
+    before = sorted(out.glob("**/processed/*"))
+    assert cli.main(args) == 0 and sorted(out.glob("**/processed/*")) == before and before
+
+
 def test_csv_dialect_and_rewrite(spark, tmp_path):
     rows = spark.createDataFrame([("d", "1", "10", 5.0, 1.0, 2.0, 1.0, 1.0, [0.12345678, 2.0], '{"a": "x, \\"y\\""}', 1), ("d", "2", "9", 7.25, 1.0, 2.0, 1.0, 1.0, [], "line\nbreak", 2)], "sample_dir string, red_square string, green_square string, percentage double, distance double, base_score double, completeness_ratio double, geometry_consistency double, individual_scores array<double>, particle_details string, ord long")
     path = f"file://{tmp_path}/percentage_data.csv"
