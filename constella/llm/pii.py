@@ -19,6 +19,8 @@ from constella.llm import _store
 DEFAULT_KEY = "surrogate-key"
 #: Attempts after which entities that still collide are an error: their format has no room for distinct ones.
 ATTEMPTS = 40
+#: Attempts in the entity's own format; each later one widens it: another letter, digit or syllable, and other networks.
+PLAIN, PUBLIC = 6, 20
 
 # The patterns of the types, in order of preference where several begin at one place.
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -109,6 +111,12 @@ def _nth(stream: Column, i: Column | int, n: Column | int) -> Column:
     return F.pmod(F.conv(F.substr(stream, at, F.lit(3)), 16, 10).cast("int"), F.lit(n) if isinstance(n, int) else n)
 
 
+def _wider(stream: Column, attempt: Column, alphabet: str) -> Column:
+    """As many further characters as there were attempts beyond the plain ones."""
+    more = attempt - PLAIN
+    return F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: F.substr(F.lit(alphabet), _nth(stream, 83 - i, len(alphabet)) + 1, F.lit(1))), "")).otherwise(F.lit(""))
+
+
 def _letters(stream: Column, value: Column) -> Column:
     """``value`` with its letters and digits exchanged for others of their case and script."""
 
@@ -146,13 +154,13 @@ def _woven(value: Column, digits: Column) -> Column:
 _COUNTRY = r"^\+?(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
-def _new_phone(stream: Column, norm: Column) -> Column:
+def _new_phone(stream: Column, norm: Column, attempt: Column) -> Column:
     """The country code, then a digit from 2 to 9, then any digits."""
     plus = F.when(norm.startswith("+"), F.regexp_extract(norm, _COUNTRY, 0)).otherwise(F.lit(""))
 
     def rest(head: Column) -> Column:
         fresh = F.transform(F.split(F.substr(norm, F.length(head) + 1), ""), lambda c, i: F.when(i == 0, (_nth(stream, 0, 8) + 2).cast("string")).otherwise(_nth(stream, i, 10).cast("string")))
-        return F.concat(head, F.when(F.length(norm) > F.length(head), F.array_join(fresh, "")).otherwise(F.lit("")))
+        return F.concat(head, F.when(F.length(norm) > F.length(head), F.array_join(fresh, "")).otherwise(F.lit("")), _wider(stream, attempt, "0123456789"))
 
     return _let(plus, rest)
 
@@ -170,13 +178,13 @@ def _new_card(stream: Column, norm: Column) -> Column:
     return _let(body, closed)
 
 
-def _new_email(key: Column, stream: Column, norm: Column) -> Column:
+def _new_email(key: Column, stream: Column, norm: Column, attempt: Column) -> Column:
     """Of the domain the last label stays, and a reserved example domain; the rest is the same for all its addresses."""
 
     def with_tail(domain: Column, tail: Column) -> Column:
         host = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
         fresh = _let(host, lambda h: F.when(F.length(h) > 0, _let(_stream(key, F.lit("domain"), h), lambda st: _letters(st, h))).otherwise(h))
-        return F.concat(_letters(stream, F.regexp_extract(norm, "^([^@]*)@", 1)), F.lit("@"), fresh, tail)
+        return F.concat(_letters(stream, F.regexp_extract(norm, "^([^@]*)@", 1)), _wider(stream, attempt, ALPHABETS["latin"]), F.lit("@"), fresh, tail)
 
     def with_domain(domain: Column) -> Column:
         tail = F.when(domain.rlike(r"(?:^|\.)example\.\p{L}+$"), F.regexp_extract(domain, r"(\.?example\.\p{L}+)$", 1)).otherwise(F.regexp_extract(domain, r"(\.\p{L}+)$", 1))
@@ -185,27 +193,29 @@ def _new_email(key: Column, stream: Column, norm: Column) -> Column:
     return _let(F.regexp_extract(norm, "@(.*)$", 1), with_domain)
 
 
-def _new_ip(stream: Column, norm: Column) -> Column:
-    """A private network's head stays; other addresses get another public one."""
+def _new_ip(stream: Column, norm: Column, attempt: Column) -> Column:
+    """A private network's head stays while it has room, then comes the largest private network; other addresses get another public one."""
     part = lambda k, low, n: (_nth(stream, k, n) + low).cast("string")
     private = F.regexp_extract(norm, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)", 1)
+    private = F.when((private == "") | (attempt <= PLAIN), private).when(attempt <= PUBLIC, F.lit("10.")).otherwise(F.lit(""))
     public = F.concat(F.when(_nth(stream, 0, 2) == 0, part(1, 11, 89)).otherwise(part(1, 193, 30)), F.lit("."))
     left = lambda head: 4 - F.length(F.regexp_replace(head, "[^.]", ""))
     tail = F.array(part(2, 1, 254), part(3, 1, 254), part(4, 1, 254))
-    return _let(F.when(private != "", private).otherwise(public), lambda head: F.concat(head, F.array_join(F.slice(tail, F.lit(1), left(head)), ".")))
+    return _let(_let(private, lambda own: F.when(own != "", own).otherwise(public)), lambda head: F.concat(head, F.array_join(F.slice(tail, F.lit(1), left(head)), ".")))
 
 
 def _new_ssn(stream: Column) -> Column:
     return F.concat(F.lpad((_nth(stream, 0, 899) + 1).cast("string"), 3, "0"), F.lpad((_nth(stream, 1, 99) + 1).cast("string"), 2, "0"), F.lpad((_nth(stream, 2, 4000) + 1).cast("string"), 4, "0"))
 
 
-def _new_name(stream: Column, norm: Column) -> Column:
-    """Gender mark, a given name of that gender if there was one, and a family name of four syllables."""
+def _new_name(stream: Column, norm: Column, attempt: Column) -> Column:
+    """Gender mark, a given name of that gender if there was one, and a family name of four syllables, or more where these have no room."""
+    syllables = F.greatest(attempt - PLAIN, F.lit(0)) + 4
     bare = F.substr(norm, F.lit(3))
     words = lambda of: _choose({s: F.array(*map(F.lit, of(s))) for s in ("cyrillic", "greek", "latin")}, _script(bare))
     names = F.when(norm.startswith("f:"), words(lambda s: GIVEN[s]["f"])).otherwise(words(lambda s: GIVEN[s]["m"]))
     given = F.element_at(names, _nth(stream, 0, 8) + 1)
-    family = _let(words(SYLLABLES.get), lambda w: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(w, _nth(stream, i, 16) + 1)), "")))
+    family = _let(words(SYLLABLES.get), lambda w: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), syllables), lambda i: F.element_at(w, _nth(stream, i, 16) + 1)), "")))
     return F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.when(F.contains(bare, F.lit(" ")), F.concat(given, F.lit(" "))).otherwise(F.lit("")), family)
 
 
@@ -214,7 +224,7 @@ def canonical(key: Column, kind: Column, norm: Column, attempt: Column) -> Colum
 
     def by_kind(stream: Column) -> Column:
         iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), _letters(stream, F.substr(norm, F.lit(3))))
-        made = {"email": _new_email(key, stream, norm), "ip": _new_ip(stream, norm), "iban": iban, "phone": _new_phone(stream, norm), "card": _new_card(stream, norm), "ssn": _new_ssn(stream), "name": _new_name(stream, norm)}
+        made = {"email": _new_email(key, stream, norm, attempt), "ip": _new_ip(stream, norm, attempt), "iban": iban, "phone": _new_phone(stream, norm, attempt), "card": _new_card(stream, norm), "ssn": _new_ssn(stream), "name": _new_name(stream, norm, attempt)}
         return _choose(made, kind)
 
     return _let(_stream(key, kind, norm, attempt.cast("string")), by_kind)
@@ -226,7 +236,9 @@ def in_format(kind: Column, value: Column, surrogate: Column) -> Column:
     def written(s: Column) -> Column:
         spaced = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(s, F.length(F.replace(F.substr(value, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
         return (
-            F.when(kind.isin("phone", "card", "ssn"), _woven(value, _digits(s))).when(kind == "iban", spaced)
+            # A widened number has further digits at its end.
+            F.when(kind == "phone", F.concat(_woven(value, _digits(s)), F.substr(_digits(s), F.length(_digits(value)) + 1)))
+            .when(kind.isin("card", "ssn"), _woven(value, _digits(s))).when(kind == "iban", spaced)
             .when(kind == "name", F.concat(F.regexp_extract(value, rf"^((?:{FEMALE}|{MALE})\.?\x20)", 1), F.substr(s, F.lit(3))))
             .when((kind == "email") & (value == F.upper(value)), F.upper(s)).otherwise(s)
         )
@@ -268,6 +280,7 @@ def collisions(found: DataFrame, key: str) -> DataFrame:
         later = _store.materialise(marked.filter("not bad").select(*now.columns).unionByName(again.select(*now.columns)), "surrogates")
         _store.drop(now, marked)
         now = later
+    # Only card, account and social security numbers keep a fixed room, of 10**11, 10**14 and 3.5 * 10**8 at least.
     raise ValueError(f"entities still share surrogates after {ATTEMPTS} attempts")
 
 

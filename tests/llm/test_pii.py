@@ -77,3 +77,23 @@ def test_luhn(spark, number):
     from pyspark.sql import functions as F
 
     assert (spark.range(1).select(P._luhn(F.lit(number))).first()[0] % 10 == 0) == luhn(number)
+
+
+def test_saturated_formats_widen(spark):
+    mails = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    phones = [f"+49 {k // 100 + 1} {k % 100:02}" for k in range(900)]
+    got = run(spark, [", ".join(mails), ", ".join(phones), mails[7].upper(), phones[500]])
+    for k, old in enumerate((mails, phones)):
+        new = got[k].text.split(", ")
+        assert len(new) == len(set(new)) == len(old) and not set(new) & set(old)
+    assert all(re.fullmatch(r"[a-z]+@example\.com", x) for x in got[0].text.split(", "))
+    assert all(x.startswith("+49 ") for x in got[1].text.split(", "))
+    assert got[2].text == got[0].text.split(", ")[7].upper() and got[3].text == got[1].text.split(", ")[500]
+
+
+def test_later_attempts_leave_small_ranges(spark):
+    from pyspark.sql import functions as F
+
+    make = lambda kind, norm, n: spark.range(1).select(P.canonical(F.lit("k"), F.lit(kind), F.lit(norm), F.lit(n))).first()[0]
+    assert make("ip", "192.168.7.1", 0).startswith("192.168.") and make("ip", "192.168.7.1", P.PLAIN + 1).startswith("10.") and not make("ip", "192.168.7.1", P.PUBLIC + 1).startswith("10.")
+    assert len(make("name", "m:Smith", P.PLAIN + 9)) > len("m:") + 2 * 13 - 1
