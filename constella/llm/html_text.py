@@ -2,8 +2,9 @@
 
 Markup is stripped to lines, one for each block element. Menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments keep their place in the sequence as empty lines. Text lengths are
-summed over a sliding window of lines; a region runs from the surge point, where the window's sum
-rises, to the dive point, where it falls back, and the region with the most text is the article.
+summed over a sliding window of lines; a region runs from the first surge point, where the window's sum
+rises, to the last dive point before furniture, where it falls back, and the region with the most text
+is the article.
 
 Null, empty or tag-only html gives empty text; every row gives one row; a page that breaks off in the
 middle gives what it has.
@@ -13,13 +14,14 @@ from __future__ import annotations
 
 import html
 import re
+import statistics
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
-#: Share of the largest window's sum at which a page without article markup surges and dives.
+#: Share of a window of median lines at which a page without article markup surges and dives.
 SURGE = 0.12
 
 # Element names of the HTML standard and the usual names of page furniture.
@@ -30,11 +32,16 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form menu head button select dialog fieldset frameset datalist audio video canvas map object applet".split())
 CELLS = frozenset("td th br".split())
+# A name of furniture is a whole class or id, alone or with a usual word for its place or kind before or behind it.
 NAMED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|billboard|breadcrumbs?|byline-links|comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|"
+    r"(?i)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|sticky|mobile|cookies?|social|user|reader|post|entry|article)[_-]+)*(?:ads?|advert\w*|adsense|banner|billboard|breadcrumbs?|byline-links|comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|"
     r"footer|foot|form|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|alert|overlay|pager|pagination|popup|promo\w*|recommended|related|"
-    r"replies|respond|search|share|sharing|sidebar|side-bar|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|topbar|widget)(?:$|[\s_-])"
+    r"replies|respond|search|share|sharing|sidebar|side-bar|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|topbar|widget)"
+    r"(?:[_-]+(?:area|banner|bar|block|box|buttons?|container|form|icons?|inner|items?|left|links?|list|menu|nav|notice|popup|posts?|right|section|slot|top|unit|widget|wrap|wrapper|\d+))*"
 )
+#: Classes of an article and its parts: furniture names beside them, or of headers in them, don't count.
+WRAPPER = re.compile(r"(?i)(?:h?entry|post|article|story)(?:[_-]+(?:header|head|title|body|content|text|inner|main|container|wrap|wrapper))*")
+HEADING = re.compile(r"(?i)(?:[a-z]+[_-]+)*(?:header|masthead|banner)(?:[_-]+[a-z]+)*")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 TOKEN = re.compile(
@@ -48,17 +55,21 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(
 
 
 def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
-    if name in FURNITURE or name == "header" and not in_article:
+    if name in FURNITURE:
+        return True
+    found = [(key.lower(), value.strip("\"'")) for key, value in ATTRIBUTE.findall(attrs)] if attrs else []
+    names = [n for key, value in found if key in ("class", "id") for n in value.split()]
+    wrapper = any(WRAPPER.fullmatch(n) for n in names)
+    if name == "header" and not in_article and not wrapper:
         return True
     if not attrs or name in ("html", "body", "article", "main") and "omment" not in attrs:
         return False
-    for key, value in ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), value.strip("\"'")
+    for key, value in found:
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key == "role" and value.lower() in ROLES or key in ("class", "id") and NAMED.search(value):
+        if key == "role" and value.lower() in ROLES:
             return True
-    return False
+    return not wrapper and any(NAMED.fullmatch(n) and not (in_article and HEADING.fullmatch(n)) for n in names)
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
@@ -140,6 +151,18 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _part(weights: list[int], least: float) -> tuple[int, int]:
+    """From the first surge to the last dive: short lines between prose belong to it."""
+    sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
+    above = [k for k, n in enumerate(sums) if n > least]
+    if not above:
+        return 0, 0
+    last = min(above[-1] + WINDOW, len(weights))
+    while not weights[last - 1]:
+        last -= 1
+    return above[0], last
+
+
 def main_text(page: str | None) -> str:
     """The article of one page, its blocks joined by a line feed."""
     if not page:
@@ -147,23 +170,19 @@ def main_text(page: str | None) -> str:
     found = lines(page)
     marked = any(inside for _, _, inside in found)
     weights = [(len(t) if inside else 0) if marked else (n if 2 * n > len(t) else 0) for t, n, inside in found]
-    sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
-    least = 0 if marked else SURGE * max(sums, default=0)
-    best, best_size, k = (0, 0), 0, 0
-    while k < len(sums):
-        if sums[k] <= least:
-            k += 1
+    filled = [n for n in weights if n]
+    # One long paragraph doesn't move the median, so it sets no bar for the others.
+    least = 0 if marked or not filled else SURGE * WINDOW * statistics.median_low(filled)
+    best, best_size, start = (0, 0), 0, 0
+    for k in range(len(found) + 1):
+        # Furniture parts regions; in a page with markup the text outside articles does, too.
+        if k < len(found) and (weights[k] if marked else found[k][0]):
             continue
-        surge = k
-        while k < len(sums) and sums[k] > least:
-            k += 1
-        # The window that dives starts after the last line it kept: lines surge .. k - 1, and what the last good window covers.
-        last = min(k + WINDOW - 1, len(weights))
-        while last > k and not weights[last - 1]:
-            last -= 1
-        size = sum(weights[surge:last])
+        low, high = _part(weights[start:k], least)
+        size = sum(weights[start + low : start + high])
         if size > best_size:
-            best, best_size = (surge, last), size
+            best, best_size = (start + low, start + high), size
+        start = k + 1
     chosen = found[slice(*best)]
     return "\n".join(t for t, n, inside in chosen if t and (inside if marked else 2 * n > len(t)))
 

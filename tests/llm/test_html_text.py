@@ -46,3 +46,30 @@ def test_nulls_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>x</p>")], "page_id long, url string, html string")
     assert {(r.page_id, r.url, r.text, r.n_chars) for r in H.extract_text(pages).collect()} == {(1, None, "", 0), (None, "u", "x", 1)}
     assert H.extract_text(pages.limit(0)).count() == 0
+
+
+def prose(n, mark):
+    return f"<p>{(mark + ' word' * n)[: n - 1]}.</p>"
+
+
+def test_all_prose_between_furniture_stays():
+    short = "<h2>" + "h" * 20 + "</h2>" + prose(90, "a") + prose(100, "b")
+    bodies = {
+        "long paragraph": [prose(300, f"n{k}") for k in range(3)] + [prose(10000, "big")] + [prose(300, f"m{k}") for k in range(3)],
+        "short lines": [prose(900, f"n{k}") for k in range(6)] + [short] + [prose(900, f"m{k}") for k in range(8)],
+        "list": [prose(900, "n")] * 3 + ["<ul>" + "<li>one</li>" * 5 + "</ul>"] + [prose(900, "m")] * 3,
+    }
+    for name, body in bodies.items():
+        page = f"<div class=nav><a href=a>Home</a></div><div>{''.join(body)}</div><div class=footer>c</div><div>tail</div>"
+        want = [" ".join(x.split()) for x in re.split(r"<[^>]*>", "".join(body)) if x.strip()]
+        assert H.main_text(page).split("\n") == want, name
+
+
+def test_furniture_names_are_whole_classes():
+    body = "".join(prose(200, f"n{k}") for k in range(4))
+    for wrapper in ("has-sidebar", "no-comments content", "post tags", "search-engine-history", "entry-content related"):
+        assert H.main_text(f"<div class='{wrapper}'>{body}</div>").count("\n") == 3, wrapper
+    assert H.main_text(f"<header class='entry-header'><h1>Head of it</h1></header>{body}").startswith("Head of it\n")
+    assert H.main_text(f"<article><div class='article-header'><h1>Head of it</h1></div>{body}</article>").startswith("Head of it\n")
+    for furniture in ("site-footer", "main-nav", "share-box", "comment-list", "cookie-notice", "x sidebar"):
+        assert "menu entry" not in H.main_text(f"<div>{body}</div><div class='{furniture}'>{'menu entry ' * 20}</div>"), furniture
