@@ -4,7 +4,8 @@ Counts of hashed byte trigrams, within words and with their ends, give every lan
 A document is a mixture: each of its words was written in one language, and expectation-maximisation
 estimates the languages' proportions from the words' likelihoods. Nested sets of languages, in order of
 their proportions, are fitted again, and the set whose likelihood less half the logarithm of the number
-of words per further language is largest gives the answer: its first language, with its proportion.
+of words per further language is largest gives the answer: its first language, with its proportion, and
+the whole mixture. Sets grow until none is better.
 
 Null text, and text without a letter, is ``und`` with score 0. Rows without a language, and held-out rows,
 teach nothing; without any teaching row every document is ``und``. Repeated and null identifiers are kept
@@ -27,7 +28,7 @@ CELLS, BLOCK = 1 << 16, 1 << 13
 #: Languages that a model has at most; more are an error, as the model is sent to every executor.
 MAX_LANGUAGES = 512
 FULL_STEPS, SET_STEPS = 10, 6
-#: Languages, by their proportions, of which nested sets are fitted again.
+#: Languages, by their proportions, of which nested sets are fitted again in any case; larger sets while they improve.
 CANDIDATES = 4
 #: Nats that a word's likelihoods lie apart at most, so that no single word outweighs a document.
 SPREAD = 30.0
@@ -122,14 +123,15 @@ def _fit(words: np.ndarray, text: np.ndarray, first: np.ndarray, n: np.ndarray,
     return p, np.add.reduceat(mixed, first)
 
 
-def infer(cells: np.ndarray, starts: np.ndarray, rows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(language, score, size of the chosen set) of each text; language -1 where it has no words."""
+def infer(cells: np.ndarray, starts: np.ndarray, rows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, size of the chosen set, proportions) of each text; language -1 where it has no words, proportion -1 outside the set."""
     n_texts, n_langs = len(rows) - 1, table.shape[1]
+    shares = np.full((n_texts, n_langs), -1.0)
     best, score, size = np.full(n_texts, -1), np.zeros(n_texts), np.zeros(n_texts, np.int64)
     n = np.diff(rows)
     have = np.flatnonzero(n)
     if not len(have) or not n_langs:
-        return best, score, size
+        return best, score, size, shares
     logs = np.add.reduceat(table[cells], starts[:-1], axis=0).astype(np.float64)
     words = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -SPREAD))
     n, first = n[have], rows[:-1][have]
@@ -138,41 +140,55 @@ def infer(cells: np.ndarray, starts: np.ndarray, rows: np.ndarray, table: np.nda
     order = np.argsort(-p, axis=1, kind="stable")
     top, value = p[np.arange(len(have)), order[:, 0]], np.full(len(have), -np.inf)
     lang, count = order[:, 0].copy(), np.ones(len(have), np.int64)
-    for k in range(1, min(CANDIDATES, n_langs) + 1):
-        allowed = np.zeros((len(have), n_langs))
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
+    mixture = np.full((len(have), n_langs), -1.0)
+    at = np.arange(len(have))
+    for k in range(1, n_langs + 1):
+        if k > CANDIDATES:
+            # Only texts that the last language made better go on.
+            go = count[at] == k - 1
+            if not go.any():
+                break
+            words, at, n = words[np.repeat(go, n)], at[go], n[go]
+            first, text = np.cumsum(n) - n, np.repeat(np.arange(len(at)), n)
+        allowed = np.zeros((len(at), n_langs))
+        np.put_along_axis(allowed, order[at, :k], 1.0, axis=1)
         q, likelihood = _fit(words, text, first, n, allowed, SET_STEPS if k > 1 else 0)
         penalised = likelihood - (k - 1) * (0.5 * np.log(n) + 1)
-        better = penalised > value
-        value[better], lang[better], count[better] = penalised[better], q.argmax(1)[better], k
-        top[better] = q.max(1)[better]
-    best[have], score[have], size[have] = lang, np.clip(top, 0, 1), count
-    return best, score, size
+        better = penalised > value[at]
+        to = at[better]
+        value[to], lang[to], count[to] = penalised[better], q.argmax(1)[better], k
+        top[to] = q.max(1)[better]
+        mixture[to] = np.where(allowed > 0, q, -1.0)[better]
+    best[have], score[have], size[have], shares[have] = lang, np.clip(top, 0, 1), count, mixture
+    return best, score, size, shares
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and n_langs (size of the chosen set) of every document."""
+    """doc_id, lang_pred, score, n_langs (size of the chosen set) and mixture (the set's languages and proportions, largest first) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = shared.value
         for batch in batches:
             data, offsets = _text.text_bytes(batch.column(1))
-            langs, scores, sizes = [], [], []
+            langs, scores, sizes, mixtures = [], [], [], []
             for lo, hi in _text.chunks(offsets, max(1 << 14, (1 << 23) // max(8, len(names)))):
-                b, s, z = infer(*_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), table)
+                b, s, z, q = infer(*_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), table)
                 langs += b.tolist()
                 scores += s.tolist()
                 sizes += z.tolist()
+                for own in q:
+                    chosen = np.flatnonzero(own >= 0)
+                    mixtures.append([{"lang": names[j], "share": float(own[j])} for j in chosen[np.argsort(-own[chosen], kind="stable")]])
             # A word here is a run of letters or of other scripts' bytes; whether one is a letter is asked of the odd texts only.
             odd = _no_ascii_letter(data, offsets)
             for k in odd.tolist():
                 if not LETTER.search(batch.column(1)[k].as_py() or ""):
-                    langs[k], scores[k], sizes[k] = -1, 0.0, 0
-            yield pa.record_batch([batch.column(0), pa.array([names[k] if k >= 0 else "und" for k in langs], pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], ["doc_id", "lang_pred", "score", "n_langs"])
+                    langs[k], scores[k], sizes[k], mixtures[k] = -1, 0.0, 0, []
+            yield pa.record_batch([batch.column(0), pa.array([names[k] if k >= 0 else "und" for k in langs], pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32()), pa.array(mixtures, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], ["doc_id", "lang_pred", "score", "n_langs", "mixture"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(texts, f"doc_id {kind}, lang_pred string, score double, n_langs int")
+    return docs.select(id_col, text_col).mapInArrow(texts, f"doc_id {kind}, lang_pred string, score double, n_langs int, mixture array<struct<lang: string, share: double>>")
 
 
 def _no_ascii_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -65,3 +65,19 @@ def test_odd_texts_and_no_teacher(spark):
     none = L.learn(docs.limit(0))
     assert {r.lang_pred for r in L.predict(docs, none).collect()} == {"und"}
     assert L.predict(docs.limit(0), model).count() == 0
+
+
+def test_sets_grow_beyond_the_first_candidates(spark):
+    r, parts, teach = np.random.default_rng(3), [], []
+    for k, letters in enumerate(("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx")):
+        words = ["".join(r.choice(list(letters), 6)) for _ in range(60)]
+        teach.append((k, " ".join(words * 5), f"l{k}"))
+        parts.append(" ".join(words[: 20 + 4 * k]))
+    kind = "doc_id long, text string, lang string"
+    model = L.learn(spark.createDataFrame(teach, kind))
+    texts = [" ".join(parts), " ".join(parts[:5]), parts[2], "1"]
+    got = sorted(L.predict(spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], kind), model).collect(), key=lambda x: x.doc_id)
+    assert [x.n_langs for x in got] == [6, 5, 1, 0] and [x.lang_pred for x in got] == ["l5", "l4", "l2", "und"]
+    assert [m.lang for m in got[0].mixture] == ["l5", "l4", "l3", "l2", "l1", "l0"] and got[3].mixture == []
+    assert [m.share for m in got[0].mixture] == pytest.approx([(20 + 4 * k) / 180 for k in reversed(range(6))], abs=0.01)
+    assert got[0].score == pytest.approx(40 / 180, abs=0.01) and got[2].mixture[0].share == pytest.approx(1)
