@@ -1,46 +1,74 @@
 """Quality rules with thresholds that mergeable quantile sketches set for each language and source.
 
-Base measures are exact for every text. On top of them, rates in whole per mille are summarised for each
-(language, source) by sketches: counts of values in buckets of ever wider integer ranges, six bits of
-precision each. A sketch is a set of (bucket, count) rows, so sketches of any parts of the corpus merge by
-adding counts, in any order, with the same result. From a group's quartiles follows its outer fence
-``q3 + FENCE * (q3 - q1)``, never below the rule's floor, and documents beyond a fence of their group are
-rejected. Everything is DataFrame expressions.
+Base measures are exact for every text. On top of them, rates in whole per mille (marks and capitals among
+characters, word lengths, repeated lines and words) are summarised for each (language, source) by sketches:
+counts of values in buckets of ever wider integer ranges, nine bits of precision each. A sketch is a set of
+(bucket, count) rows, so sketches of any parts of the corpus merge by adding counts, in any order, with the
+same result. A rule names two quantiles; a group's fence lies ``reach`` times their distance beyond the
+upper one, and no cutoff is fixed: what is usual in one source is rejected in another. Fences of groups
+shrink to their language's, and those of languages to the corpus', by ``PRIOR`` documents' weight, so a
+small group has no other rule than a large one. A document is rejected when its count lies further above what
+the fence allows a text of its size than chance explains (three standard deviations), so short texts aren't
+rejected for a single event. Everything is DataFrame expressions.
 
 Null text has no words and fails the base rules. Null language or source is a group like any other, and
-identifiers may repeat or be null; an empty table gives no rows.
+identifiers may repeat or be null: every row is judged by its own text. Equal texts of one group get one
+verdict. Very long texts, and runs of blanks of any length, cost time in proportion to their length. Columns
+of any further name are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from constella.llm import _store
 
 # The base rules' characters, window and limits.
 SYMBOLS = r"[#*$%&|<>]"
-BLANKS = " \t\n\x0b\f\r"
 WINDOW, MIN_WORDS, MAX_REPEATED_PERCENT = 8, 20, 30
-
-#: How far a group's fence lies beyond its third quartile, in interquartile ranges, and the groups' least size;
-#: smaller groups are judged by all documents of their language, and of the corpus, merged.
-FENCE, MIN_GROUP = 6, 50
-#: Rules: the rate and the floor of its fence; a rate at or below its floor never rejects.
-RULES = {"symbols_pm": 100, "dup_lines_pm": 300, "repeats_pm": 250, "upper_pm": 500, "bangs_pm": 200, "word_len_pm": 15_000}
+#: The marks of the ASCII block.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Rule(NamedTuple):
+    """A rate ``count`` per ``size``, the quantiles (per mille) whose distance sets the fence, and how far beyond it lies."""
+
+    count: str
+    size: str
+    low: int
+    high: int
+    reach: int
+    #: The least fence in per mille, below which events are noise, and the counted units that one event brings.
+    noise: int
+    event: int
+
+
+RULES = {
+    "marks_pm": Rule("_marks", "word_chars", 250, 750, 6, 20, 1),
+    "upper_pm": Rule("_upper", "word_chars", 250, 750, 6, 20, 1),
+    "word_len_pm": Rule("word_chars", "n_words", 250, 750, 6, 0, 5),
+    # Most texts repeat nothing, so the tail of the sketch says what a source's own repetition is.
+    "dup_lines_pm": Rule("n_dup_lines", "_lines", 500, 980, 1, 50, 1),
+    "repeats_pm": Rule("n_repeat_words", "n_words", 500, 980, 1, 50, 2 * WINDOW),
+}
+#: Documents of the language, or of the corpus, that a group's own fence is weighed against.
+PRIOR = 10
+#: A quantile distance counts for a sixteenth of the upper quantile at least, and an excess for three deviations.
+LEAST_SPREAD, DEVIATIONS = 16, 3
+#: Bits of a sketch bucket.
+PRECISION = 9
 
 _FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _bits(name: str) -> str:
-    return f"length(bin({name})) - 1"
-
-
 def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the base measures, ``base_failed`` and the rates of the rules; names begin with ``prefix``."""
     p = f"_{prefix}m_"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
-    out = docs.withColumn(f"{p}w", F.filter(split, lambda x: x != ""))
+    # Blanks at either end leave an empty string there, which isn't a word.
+    out = docs.withColumn(f"{p}w", F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda x: x != ""))
     out = out.withColumn(f"{p}n", F.size(f"{p}w"))
     # Hashes of all windows; only a text that repeats one goes on to positions.
     window = F.expr(f"case when `{p}n` >= {WINDOW} then transform(sequence(1, `{p}n` - {WINDOW - 1}), i -> xxhash64(slice(`{p}w`, i, {WINDOW}))) else array() end").cast("array<bigint>")
@@ -62,25 +90,23 @@ def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
         "n_repeat_words": F.coalesce(F.expr(covered), F.lit(0).cast("long")),
         "_lines": F.size(f"{p}l").cast("long"),
         "_upper": F.when(F.col(f"{p}j") != F.lower(f"{p}j"), F.regexp_count(F.col(f"{p}j"), F.lit(r"\p{Lu}")).cast("long")).otherwise(F.lit(0).cast("long")),
-        "_bangs": (F.char_length(f"{p}j") - F.char_length(F.replace(f"{p}j", F.lit("!"), F.lit("")))).cast("long"),
+        "_marks": (F.char_length(f"{p}j") - F.char_length(F.translate(f"{p}j", MARKS, ""))).cast("long"),
     }
     for name, value in measures.items():
         out = out.withColumn(f"{prefix}{name}", value)
     c = lambda name: F.col(f"{prefix}{name}")
     out = out.withColumn(f"{prefix}base_failed", (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEATED_PERCENT * c("n_words")))
-    rate = lambda a, b: F.expr(f"coalesce(1000 * `{prefix}{a}` div nullif(`{prefix}{b}`, 0), 0)")
-    rates = {"symbols_pm": ("n_symbols", "n_words"), "dup_lines_pm": ("n_dup_lines", "_lines"), "repeats_pm": ("n_repeat_words", "n_words"), "upper_pm": ("_upper", "word_chars"), "bangs_pm": ("_bangs", "n_words"), "word_len_pm": ("word_chars", "n_words")}
-    for name, (a, b) in rates.items():
-        out = out.withColumn(f"{prefix}{name}", rate(a, b))
+    for name, rule in RULES.items():
+        out = out.withColumn(f"{prefix}{name}", F.expr(f"coalesce(1000 * `{prefix}{rule.count}` div nullif(`{prefix}{rule.size}`, 0), 0)"))
     # Filters on what a generator gives are not pushed below it, where they would work out the measures again and again.
-    made = [f"{prefix}{k}" for k in (*_FEATURES, "base_failed", *rates)]
+    made = [f"{prefix}{k}" for k in (*measures, "base_failed", *RULES)]
     return out.select(*docs.columns, F.explode(F.array(F.struct(*made))).alias(f"{p}all")).select(*docs.columns, f"{p}all.*")
 
 
 def bucket(value: str) -> Column:
-    """The lowest value of a value's sketch bucket: exact below 64, then 32 buckets for each doubling."""
-    shift = f"greatest({_bits(value)} - 5, 0)"
-    return F.expr(f"case when {value} < 64 then {value} else shiftleft(shiftright({value}, {shift}), {shift}) end").cast("long")
+    """The lowest value of a value's sketch bucket: the first ``PRECISION`` bits of it."""
+    shift = f"greatest(length(bin({value})) - {PRECISION}, 0)"
+    return F.expr(f"shiftleft(shiftright({value}, {shift}), {shift})").cast("long")
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -91,23 +117,29 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, rule, fence) from merged sketches; small groups take their language's, or the corpus', quartiles."""
+    """(lang, source, rule, fence) from merged sketches; each fence is weighed with its language's, and that with the corpus'."""
     from pyspark.sql import Window
 
-    def quartiles(by: list[str]) -> DataFrame:
+    of_rule = lambda field: F.create_map(*[F.lit(x) for r, rule in RULES.items() for x in (r, getattr(rule, field))])[F.col("rule")]
+
+    def own(by: list[str], name: str) -> DataFrame:
         merged = sketch.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*by, "rule")
         ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-        at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bucket")))
-        return ranked.groupBy(*by, "rule").agg(F.max("all").alias("size"), at(1).alias("q1"), at(3).alias("q3"))
+        at = lambda q: F.min(F.when(F.col("upto") * 1000 >= F.col("all") * of_rule(q), F.col("bucket")))
+        ends = ranked.groupBy(*by, "rule").agg(F.max("all").alias(f"{name}_n"), at("low").alias("low"), at("high").alias("high"))
+        spread = F.greatest(F.col("high") - F.col("low"), F.floor(F.col("high") / LEAST_SPREAD))
+        return ends.select(*by, "rule", f"{name}_n", F.greatest(F.col("high") + of_rule("reach") * spread, of_rule("noise")).cast("long").alias(f"{name}_fence"))
 
-    own, by_lang, whole = quartiles(["lang", "source"]), quartiles(["lang"]), quartiles([])
-    floors = F.create_map(*[F.lit(x) for r, f in RULES.items() for x in (r, f)])
-    a, b, c = own.alias("a"), by_lang.alias("b"), whole.alias("c")
+    a, b, c = own(["lang", "source"], "own").alias("a"), own(["lang"], "lang").alias("b"), own([], "all").alias("c")
     joined = a.join(b, (F.col("a.rule") == F.col("b.rule")) & F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(c, F.col("a.rule") == F.col("c.rule"))
-    pick = lambda k: F.when(F.col("a.size") >= MIN_GROUP, F.col(f"a.{k}")).when(F.col("b.size") >= MIN_GROUP, F.col(f"b.{k}")).otherwise(F.col(f"c.{k}"))
-    fence = pick("q3") + FENCE * (pick("q3") - pick("q1"))
-    return joined.select("a.lang", "a.source", "a.rule", F.greatest(fence, floors[F.col("a.rule")]).cast("long").alias("fence"))
+    weighed = lambda n, fence, prior: f"(({n} * {fence} + {PRIOR} * {prior}) div ({n} + {PRIOR}))"
+    return joined.select("a.lang", "a.source", "a.rule", F.expr(weighed("own_n", "own_fence", weighed("lang_n", "lang_fence", "all_fence"))).alias("fence"))
+
+
+def _beyond(count: str, size: str, fence: str, event: int) -> str:
+    """SQL for both engines: a count further above what a fence allows a size than chance and one event explain."""
+    return f"(({count} - {event}) * 1e3 - {fence} * {size} * 1e0 > {DEVIATIONS} * sqrt({event} * 1e3 * {fence} * {size}))"
 
 
 def judge(measured: DataFrame, fence: DataFrame, kept: str = "kept", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -115,8 +147,8 @@ def judge(measured: DataFrame, fence: DataFrame, kept: str = "kept", lang: str =
     wide = fence.groupBy(F.col("lang").alias("_f_lang"), F.col("source").alias("_f_source")).agg(*[F.max(F.when(F.col("rule") == r, F.col("fence"))).alias(f"_f_{r}") for r in RULES])
     joined = measured.join(wide, F.col(lang).eqNullSafe(F.col("_f_lang")) & F.col(source).eqNullSafe(F.col("_f_source")), "left")
     passes = ~F.col("base_failed")
-    for r in RULES:
-        passes = passes & F.coalesce(F.col(r) <= F.col(f"_f_{r}"), F.lit(True))
+    for r, rule in RULES.items():
+        passes = passes & ~F.coalesce(F.expr(_beyond(rule.count, rule.size, f"_f_{r}", rule.event)), F.lit(False))
     return joined.withColumn(kept, passes).drop("_f_lang", "_f_source", *[f"_f_{r}" for r in RULES])
 
 
@@ -129,11 +161,12 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept. Texts are measured twice, once for the sketches, as they are wider than their measures."""
+    """The rows of ``docs`` that are kept. They are written once with their measures, of which the sketches read the narrow columns."""
     own = [c for c in docs.columns]
     renamed = docs.toDF(*[f"_d_{k}" for k in range(len(own))])
     at = lambda c: f"_d_{own.index(c)}"
     measured = with_measures(renamed.withColumn("lang", F.col(at(lang_col))).withColumn("source", F.col(at(source_col))), at(text_col))
+    measured = _store.materialise(measured, "measures")
     fence = _store.materialise(fences(sketches(measured)), "fences")
     return judge(measured, fence).filter("kept").select(*[F.col(f"_d_{k}").alias(c) for k, c in enumerate(own)])
 
@@ -142,7 +175,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_store.table(spark, sf_dir, "documents"))
 
 
-_DUCK_RATES = {"symbols_pm": ("n_symbols", "n_words"), "dup_lines_pm": ("n_dup_lines", "_lines"), "repeats_pm": ("n_repeat_words", "n_words"), "upper_pm": ("_upper", "word_chars"), "bangs_pm": ("_bangs", "n_words"), "word_len_pm": ("word_chars", "n_words")}
+_SQL_MARKS = "'" + MARKS.replace("'", "''") + "'"
+
+
+def _sql_fence() -> str:
+    """The fence of a group of values ``b`` of one rule."""
+    cases = []
+    for k, x in RULES.items():
+        low, high = (f"quantile_disc(b, {q / 1000})" for q in (x.low, x.high))
+        cases.append(f"WHEN '{k}' THEN greatest({high} + {x.reach} * greatest({high} - {low}, {high} // {LEAST_SPREAD}), {x.noise})")
+    return f"CASE rule {' '.join(cases)} END"
+
+
+_SQL_FENCE = _sql_fence()
 
 #: The measures, then the fences, then the verdict, for DuckDB.
 ORACLE_CTES = f"""
@@ -158,23 +203,20 @@ rep AS (SELECT r, sum(own) AS n FROM g GROUP BY r),
 m AS (
   SELECT w.r, doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-    len(lines) AS _lines, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS _upper, length(regexp_replace(t, '[^!]', '', 'g')) AS _bangs
+    len(lines) AS _lines, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS _upper, length(t) - length(translate(t, {_SQL_MARKS}, '')) AS _marks
   FROM w LEFT JOIN rep USING (r)),
 f AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed,
-    {", ".join(f"coalesce(1000 * {a} // nullif({b}, 0), 0) AS {k}" for k, (a, b) in _DUCK_RATES.items())}
+    {", ".join(f"coalesce(1000 * {x.count} // nullif({x.size}, 0), 0) AS {k}" for k, x in RULES.items())}
   FROM m),
-v AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {floor} AS floor, {k} AS value FROM f WHERE NOT base_failed" for k, floor in RULES.items())}),
-s AS (SELECT lang, source, rule, floor, CASE WHEN value < 64 THEN value ELSE (value >> (length(bin(value)) - 6)) << (length(bin(value)) - 6) END AS b FROM v),
-q AS (
-  SELECT DISTINCT lang, source, rule, floor,
-    CASE WHEN na >= {MIN_GROUP} THEN a1 WHEN nb >= {MIN_GROUP} THEN b1 ELSE c1 END AS q1, CASE WHEN na >= {MIN_GROUP} THEN a3 WHEN nb >= {MIN_GROUP} THEN b3 ELSE c3 END AS q3
-  FROM (SELECT lang, source, rule, floor,
-    count(*) OVER a AS na, quantile_disc(b, 0.25) OVER a AS a1, quantile_disc(b, 0.75) OVER a AS a3, count(*) OVER l AS nb, quantile_disc(b, 0.25) OVER l AS b1, quantile_disc(b, 0.75) OVER l AS b3,
-    quantile_disc(b, 0.25) OVER c AS c1, quantile_disc(b, 0.75) OVER c AS c3
-    FROM s WINDOW a AS (PARTITION BY lang, source, rule), l AS (PARTITION BY lang, rule), c AS (PARTITION BY rule))),
-fence AS (SELECT lang, source, rule, greatest(q3 + {FENCE} * (q3 - q1), floor) AS fence FROM q),
-bad AS (SELECT DISTINCT f.r FROM f JOIN fence e ON f.lang IS NOT DISTINCT FROM e.lang AND f.source IS NOT DISTINCT FROM e.source WHERE {" OR ".join(f"(e.rule = '{k}' AND f.{k} > e.fence)" for k in RULES)}),
+v AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {k} AS value FROM f WHERE NOT base_failed" for k in RULES)}),
+s AS (SELECT lang, source, rule, (value >> greatest(length(bin(value)) - {PRECISION}, 0)) << greatest(length(bin(value)) - {PRECISION}, 0) AS b FROM v),
+q AS (SELECT lang, source, rule, count(*) AS n, {_SQL_FENCE} AS fence FROM s GROUP BY lang, source, rule),
+ql AS (SELECT lang, rule, count(*) AS n, {_SQL_FENCE} AS fence FROM s GROUP BY lang, rule),
+qa AS (SELECT rule, {_SQL_FENCE} AS fence FROM s GROUP BY rule),
+fence AS (SELECT q.lang, q.source, q.rule, (q.n * q.fence + {PRIOR} * ((ql.n * ql.fence + {PRIOR} * qa.fence) // (ql.n + {PRIOR}))) // (q.n + {PRIOR}) AS fence
+  FROM q JOIN ql ON ql.rule = q.rule AND ql.lang IS NOT DISTINCT FROM q.lang JOIN qa ON qa.rule = q.rule),
+bad AS (SELECT DISTINCT f.r FROM f JOIN fence e ON f.lang IS NOT DISTINCT FROM e.lang AND f.source IS NOT DISTINCT FROM e.source WHERE {" OR ".join(f"(e.rule = '{k}' AND {_beyond('f.' + x.count, 'f.' + x.size, 'e.fence', x.event)})" for k, x in RULES.items())}),
 judged AS (SELECT f.*, NOT base_failed AND bad.r IS NULL AS kept FROM f LEFT JOIN bad USING (r))
 """
 ORACLE_SQL = f"{ORACLE_CTES} SELECT doc_id, {', '.join(_FEATURES)}, base_failed, kept, {', '.join(RULES)} FROM judged"
