@@ -24,7 +24,7 @@ def unspoilt(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by surrogates."""
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pii.setting_key(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
