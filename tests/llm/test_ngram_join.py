@@ -88,9 +88,45 @@ def test_components_of_a_path(spark):
 
 def test_filters_refute_only_what_counting_refutes():
     r = np.random.default_rng(1)
-    for _ in range(300):
-        pool = r.integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2)
-        x, y = (np.unique(r.choice(pool, int(r.integers(1, 50)))) for _ in range(2))
-        same = len(np.intersect1d(x, y))
-        for percent in (20, 50, 75, 100):
-            assert J.overlap_reaches(x, y, percent) == (100 * same >= percent * (len(x) + len(y) - same))
+    refuted = 0
+    for size in (50, 3000):
+        for _ in range(150):
+            pool = r.integers(0, 2**63, size + size // 5).astype(np.uint64) * np.uint64(2)
+            x, y = (np.unique(r.choice(pool, int(r.integers(1, size)))) for _ in range(2))
+            same = len(np.intersect1d(x, y))
+            for percent in (20, 50, 75, 100):
+                linked = 100 * same >= percent * (len(x) + len(y) - same)
+                may = J.may_reach(J._signature(x), J._signature(y), len(x), len(y), percent)
+                assert J.overlap_reaches(x, y, percent) == linked and (may or not linked)
+                refuted += not may
+    assert refuted > 300
+    many = np.arange(2**14, dtype=np.uint64)  # all in one range, whose count overflows
+    assert J.may_reach(J._signature(many), J._signature(many[:-9]), len(many), len(many) - 9, 75)
+
+
+def test_sets_of_one_half_digest_are_told_apart(spark, monkeypatch):
+    few = lambda h, rows: ((np.diff(rows) % 3).astype(np.uint64), J._text.mix(np.add.reduceat(np.append(h, np.uint64(0)), rows[:-1]) + np.diff(rows).astype(np.uint64)))
+    monkeypatch.setattr(J, "_digests", few)
+    docs = [(k, " ".join(f"w{k // 3}x{j}" for j in range(9 + k % 3))) for k in range(24)] + [(50, None), (51, "")]
+    check(spark, docs, 2)
+
+
+def test_hot_grams_and_classes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(J._skew, "LEAST", 3)
+    monkeypatch.setattr(J, "HOT", 0)
+    r, docs = np.random.default_rng(5), []
+    base = [f"w{k}" for k in range(60)]
+    for k in range(120):
+        own = base.copy()
+        for at in r.integers(0, 60, 3):
+            own[at] = f"x{k}-{at}"
+        docs.append((k, " ".join(own)))
+    docs += [(200 + k, " ".join(base)) for k in range(40)] + [(300 + k, " ".join([f"o{k}", *base[:4]])) for k in range(30)] + [(400 + k, None) for k in range(30)]
+    check(spark, docs, 3)
+
+
+def test_other_columns_and_long_texts(spark):
+    long = " ".join(f"v{k}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, long, 1, "a"), (2, long + " end", 2, "b"), (3, "short", 3, None)], "doc_id long, text string, node int, component string")
+    assert sorted(tuple(r) for r in J.link_classes(docs).collect()) == [(1, 59_996, 1), (2, 59_997, 1), (3, 1, 3)]
+    assert sorted((r.doc_id, r.node, r.component) for r in J.keep_one(docs).collect()) == [(1, 1, "a"), (3, 3, None)]
