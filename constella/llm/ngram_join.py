@@ -274,7 +274,7 @@ def _survivors(pairs: DataFrame, signatures: DataFrame, total: int, percent: int
 def _node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, width: int, clashing: frozenset[int]) -> DataFrame:
     """(node, grams): the whole sets of the nodes of pairs, taken from one document each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("_id")).join(wanted, "node", "left_semi").select("_id").distinct()
+    ids = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("_id")).join(wanted, "node").select("_id").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids.withColumnRenamed("_id", "_wanted"), F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi").select("_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
