@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A key is heavy beyond this share of all rows (and beyond ``LEAST`` rows), so fewer than ``PARTS`` keys ever are.
-PARTS, LEAST = 1000, 64
+PARTS, LEAST = 10_000, 64
 
 
 def limit(total: int) -> int:
