@@ -6,13 +6,19 @@ words that is long enough to hold a phrase, and nothing that could match is left
 searched together, backward, by ranks in a wavelet matrix over the Burrows-Wheeler transform;
 occurrences are located by sampled suffix positions and merged into removal spans.
 
-Null or empty text has no words and is never contaminated; repeated documents are each reported; an
-empty benchmark marks nothing; extra columns are passed through by :func:`remove_passages`.
+A benchmark of any size is taken in parts of about ``PART_BYTES`` of text. One part is broadcast; several lie in the
+shared folder, of which a task holds one at a time; what the parts find is merged, so their number changes nothing.
+
+Null or empty text has no words and is never contaminated; null items are named by the empty string; repeated
+documents and identifiers are each reported, and rows of one item are one item; an empty benchmark or an empty
+table marks nothing. Where phrases overlap or tie, all of them count. Very long texts are indexed whole: memory is in
+proportion to the words of a batch. Other columns, whatever their names, are ignored by :func:`contamination` and passed
+through by :func:`remove_passages`.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,25 +26,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from constella.llm import _text
+from constella.llm import _store, _text
 
-#: Words of phrases that are sent to the executors at most: the bound on what is broadcast.
-MAX_PHRASE_WORDS = 64_000_000
+#: Bytes of benchmark text that are searched together, which bounds what is broadcast, and phrases that are looked up at once.
+PART_BYTES, AT_ONCE = 8 << 20, 1 << 16
 SAMPLE_EVERY = 8
 
 
 @dataclass
 class Phrases:
-    """Distinct phrases as rows of vocabulary numbers, and the items that hold each."""
+    """Distinct phrases as places in rows of vocabulary numbers, and the items that hold each."""
 
     vocabulary: np.ndarray
-    by_length: list[tuple[np.ndarray, np.ndarray]]  # (words [n, length], phrase numbers)
-    items: list[list[int]]
+    words: np.ndarray
+    by_length: list[tuple[int, np.ndarray, np.ndarray]]  # (length, places in words, first phrase number)
+    items: np.ndarray  # of phrase k: items[bounds[k]:bounds[k + 1]]
+    bounds: np.ndarray
     names: list[str]
 
     @property
     def shortest(self) -> int:
-        return min((w.shape[1] for w, _ in self.by_length), default=0)
+        return min((n for n, _, _ in self.by_length), default=0)
+
+    def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(words, numbers) of phrases of one length, some at a time."""
+        for length, places, number in self.by_length:
+            for lo in range(0, len(places), AT_ONCE):
+                own = places[lo : lo + AT_ONCE]
+                yield self.words[own[:, None] + np.arange(length)].astype(np.int64), number + lo + np.arange(len(own))
 
 
 def phrases(items: list[tuple[str, str | None]], window: int = 10) -> Phrases:
@@ -47,20 +62,23 @@ def phrases(items: list[tuple[str, str | None]], window: int = 10) -> Phrases:
     number = {n: k for k, n in enumerate(names)}
     data, offsets = _text.text_bytes(pa.array([t for _, t in items], pa.large_string()))
     starts, ends, rows = _text.word_bounds(data, offsets, _text.ALNUM)
-    if len(starts) * window > MAX_PHRASE_WORDS:
-        raise ValueError(f"the benchmark's phrases exceed {MAX_PHRASE_WORDS} words; pass it in parts")
-    hashes = _text.word_hashes(data, starts, ends)
-    vocabulary, ids = np.unique(hashes, return_inverse=True)
-    found: dict[tuple[int, ...], set[int]] = {}
-    for k, (name, _) in enumerate(items):
-        words = ids[rows[k] : rows[k + 1]].tolist()
-        for at in range(max(len(words) - window + 1, min(len(words), 1))):
-            found.setdefault(tuple(words[at : at + window]), set()).add(number[name])
-    lengths: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for k, words in enumerate(found):
-        lengths.setdefault(len(words), []).append((words, k))
-    by_length = [(np.array([w for w, _ in v], np.int64), np.array([k for _, k in v])) for _, v in sorted(lengths.items())]
-    return Phrases(vocabulary, by_length, [sorted(v) for v in found.values()], names)
+    vocabulary, ids = np.unique(_text.word_hashes(data, starts, ends), return_inverse=True)
+    ids, item = ids.astype(np.int32), np.array([number[i] for i, _ in items], np.int64)
+    have = np.diff(rows)
+    by_length, holders, bounds, first = [], [], [0], 0
+    for length in sorted({int(min(n, window)) for n in have if n}):
+        # Items of just so many words, and all windows of longer ones.
+        rows_of = np.flatnonzero(have == length) if length < window else np.flatnonzero(have >= window)
+        count = have[rows_of] - length + 1
+        row = np.repeat(rows_of, count)
+        place = rows[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        _, one, same = np.unique(ids[place[:, None] + np.arange(length)], axis=0, return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([same.ravel(), item[row]]), axis=1)
+        by_length.append((length, place[one], first))
+        holders.append(pairs[1])
+        bounds.append(np.cumsum(np.bincount(pairs[0], minlength=len(one))) + sum(map(len, holders[:-1])))
+        first += len(one)
+    return Phrases(vocabulary, ids, by_length, np.concatenate(holders) if holders else np.zeros(0, np.int64), np.concatenate([[0], *bounds[1:]]).astype(np.int64), names)
 
 
 class FMIndex:
@@ -151,27 +169,43 @@ class FMIndex:
         return out
 
 
-def _shard(column: pa.Array, known: Phrases, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[int]]]:
-    """(word rows, starts, ends, hit, items by document) of one shard."""
+@dataclass
+class Shard:
+    """The words of a batch of documents, which of them are hit, and the items found in each document."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+    base: np.ndarray  # byte offsets of the documents
+    hit: np.ndarray
+    items: list[set[str]]
+
+
+def _shard(column: pa.Array, known: Iterator[tuple[Phrases, np.ndarray]]) -> Shard:
+    """One shard searched for all parts of the benchmark in turn."""
     data, offsets = _text.text_bytes(column)
     parts = []
     for lo, hi in _text.chunks(offsets):
         own = data[offsets[lo] : offsets[hi]]
         s, e, r = _text.word_bounds(own, offsets[lo : hi + 1] - offsets[lo], _text.ALNUM)
-        h = _text.word_hashes(own, s, e)
-        number = np.full(len(h), -1, np.int32)
-        maybe = np.flatnonzero(table[h >> np.uint64(44)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(known.vocabulary, h[maybe]), len(known.vocabulary) - 1)
-            number[maybe] = np.where(known.vocabulary[at] == h[maybe], at, -1)
-        parts.append((s + offsets[lo], e + offsets[lo], r[1:] - r[:-1], number))
-    joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*parts, strict=True)) or [[]] * 4)]
-    starts, ends, counts, number = joined
+        parts.append((s + offsets[lo], e + offsets[lo], r[1:] - r[:-1], _text.word_hashes(own, s, e)))
+    starts, ends, counts, hashes = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*parts, strict=True)) or [[]] * 4)]
     rows = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    hit, items = np.zeros(len(starts), bool), [set() for _ in counts]
-    shortest = known.shortest
-    if not shortest or not len(number):
-        return rows, starts, ends, hit, items
+    out = Shard(starts, ends, rows, offsets, np.zeros(len(starts), bool), [set() for _ in counts])
+    if len(hashes):
+        for part, table in known:
+            if part.shortest:
+                _search(out, hashes, part, table)
+    return out
+
+
+def _search(shard: Shard, hashes: np.ndarray, known: Phrases, table: np.ndarray) -> None:
+    """Marks in ``shard`` what an index of it gives for the phrases."""
+    number, rows = np.full(len(hashes), -1, np.int32), shard.rows
+    maybe = np.flatnonzero(table[hashes >> np.uint64(44)])
+    if len(maybe):
+        at = np.minimum(np.searchsorted(known.vocabulary, hashes[maybe]), len(known.vocabulary) - 1)
+        number[maybe] = np.where(known.vocabulary[at] == hashes[maybe], at, -1)
     inside = number >= 0
     edge = np.zeros(len(inside) + 1, bool)
     edge[rows] = True
@@ -179,17 +213,17 @@ def _shard(column: pa.Array, known: Phrases, table: np.ndarray) -> tuple[np.ndar
     before[1:], after[:-1] = inside[:-1], inside[1:]
     run_lo = np.flatnonzero(inside & (~before | edge[:-1]))
     run_hi = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    long = run_hi - run_lo >= shortest
+    long = run_hi - run_lo >= known.shortest
     run_lo, run_hi = run_lo[long], run_hi[long]
     if not len(run_lo):
-        return rows, starts, ends, hit, items
+        return
     lengths = run_hi - run_lo
     run_ends = np.cumsum(lengths)
     origin = np.arange(run_ends[-1]) + np.repeat(run_lo - (run_ends - lengths), lengths)
     index = FMIndex(number[origin].astype(np.int64), run_ends, len(known.vocabulary))
     marks = np.zeros(len(number) + 1, np.int64)
-    doc_of = np.repeat(np.arange(len(counts)), counts)
-    for words, names in known.by_length:
+    doc_of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    for words, names in known.batches():
         low, high = index.search(words)
         n = high - low
         which = np.repeat(np.arange(len(words)), n)
@@ -201,9 +235,8 @@ def _shard(column: pa.Array, known: Phrases, table: np.ndarray) -> tuple[np.ndar
         np.add.at(marks, at, 1)
         np.add.at(marks, at + words.shape[1], -1)
         for doc, phrase in np.unique(np.stack([doc_of[at], names[which]]), axis=1).T.tolist():
-            items[doc].update(known.items[phrase])
-    hit = np.cumsum(marks[:-1]) > 0
-    return rows, starts, ends, hit, items
+            shard.items[doc].update(known.names[k] for k in known.items[known.bounds[phrase] : known.bounds[phrase + 1]].tolist())
+    shard.hit |= np.cumsum(marks[:-1]) > 0
 
 
 def _prefilter(known: Phrases) -> np.ndarray:
@@ -212,10 +245,45 @@ def _prefilter(known: Phrases) -> np.ndarray:
     return table
 
 
-def _known(benchmark: DataFrame, item_col: str, text_col: str, window: int):
+class _Known:
+    """A benchmark's parts, for the executors: broadcast if there is one, else files in the shared folder."""
+
+    def __init__(self, broadcast, paths: list[str]):
+        self.broadcast, self.paths = broadcast, paths
+
+    def __iter__(self) -> Iterator[tuple[Phrases, np.ndarray]]:
+        if self.broadcast is not None:
+            yield self.broadcast.value, _prefilter(self.broadcast.value)
+        for path in self.paths:
+            from pyarrow import fs
+
+            store, place = fs.FileSystem.from_uri(path)
+            with store.open_input_stream(place) as file:
+                part = pickle.loads(file.read())
+            yield part, _prefilter(part)
+
+
+def _known(benchmark: DataFrame, item_col: str, text_col: str, window: int, part_bytes: int = 0) -> _Known:
+    """The phrases of a benchmark; its size is looked at before any of it comes to the driver, which holds one part at a time."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(text_col)).toLocalIterator()
-    return spark.sparkContext.broadcast(phrases([(r[0], r[1]) for r in rows], window))
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t"))
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = -(-size // (part_bytes or PART_BYTES)) or 1
+    if parts == 1:
+        return _Known(spark.sparkContext.broadcast(phrases([tuple(r) for r in rows.collect()], window)), [])
+    from pyarrow import fs
+
+    dealt = _store.materialise(rows.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int")), "benchmark")
+    folder, paths = _store.new_path(spark, "phrases"), []
+    store, place = fs.FileSystem.from_uri(folder)
+    store.create_dir(place, recursive=True)
+    for k in range(parts):
+        own = phrases([tuple(r) for r in dealt.filter(F.col("part") == k).select("i", "t").collect()], window)
+        with store.open_output_stream(f"{place}/{k}") as out:
+            out.write(pickle.dumps(own))
+        paths.append(f"{folder}/{k}")
+    _store.drop(dealt)
+    return _Known(None, paths)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
@@ -223,16 +291,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     known = _known(benchmark, item_col, item_text_col, window)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _prefilter(known.value)
         for batch in batches:
-            rows, starts, ends, hit, items = _shard(batch.column(1), known.value, table)
-            totals = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = totals[rows[1:]] - totals[rows[:-1]]
-            names = [sorted(known.value.names[k] for k in x) for x in items]
-            base = _text.text_bytes(batch.column(1))[1]
-            spans = [_spans(starts, ends, hit, rows, k, base[k]) if n_hit[k] else [] for k in range(len(items))]
+            found = _shard(batch.column(1), known)
+            totals = np.concatenate([[0], np.cumsum(found.hit)])
+            n_hit = totals[found.rows[1:]] - totals[found.rows[:-1]]
+            spans = [_spans(found, k) if n_hit[k] else [] for k in range(batch.num_rows)]
             yield pa.record_batch(
-                [batch.column(0), pa.array(np.diff(rows), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [batch.column(0), pa.array(np.diff(found.rows), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in found.items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 ["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
@@ -240,11 +305,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return docs.select(id_col, text_col).mapInArrow(shard, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
-def _spans(starts: np.ndarray, ends: np.ndarray, hit: np.ndarray, rows: np.ndarray, doc: int, base: int) -> list[dict]:
-    lo, hi = rows[doc], rows[doc + 1]
-    step = np.diff(np.concatenate([[0], hit[lo:hi].astype(np.int8), [0]]))
+def _spans(shard: Shard, doc: int) -> list[dict]:
+    lo, hi, base = shard.rows[doc], shard.rows[doc + 1], shard.base[doc]
+    step = np.diff(np.concatenate([[0], shard.hit[lo:hi].astype(np.int8), [0]]))
     first, last = np.flatnonzero(step == 1) + lo, np.flatnonzero(step == -1) + lo - 1
-    return [{"start": int(starts[a] - base), "end": int(ends[b] - base)} for a, b in zip(first, last, strict=True)]
+    return [{"start": int(shard.starts[a] - base), "end": int(shard.ends[b] - base)} for a, b in zip(first, last, strict=True)]
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
@@ -257,21 +322,20 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _prefilter(known.value)
         for batch in batches:
-            rows, starts, ends, hit, items = _shard(batch.column(text_at), known.value, table)
-            touched = [k for k, x in enumerate(items) if x]
+            found = _shard(batch.column(text_at), known)
+            touched = [k for k, x in enumerate(found.items) if x]
             if touched:
-                texts, base = batch.column(text_at).to_pylist(), _text.text_bytes(batch.column(text_at))[1]
+                texts = batch.column(text_at).to_pylist()
                 chars = batch.column(chars_at).to_pylist() if chars_at is not None else None
                 stay = np.ones(batch.num_rows, bool)
                 for k in touched:
                     raw, kept, at = texts[k].encode(), [], 0
-                    for span in _spans(starts, ends, hit, rows, k, base[k]):
+                    for span in _spans(found, k):
                         kept.append(raw[at : span["start"]])
                         at = span["end"]
                     texts[k] = b"".join([*kept, raw[at:]]).decode()
-                    stay[k] = not hit[rows[k] : rows[k + 1]].all()
+                    stay[k] = not found.hit[found.rows[k] : found.rows[k + 1]].all()
                     if chars is not None and chars[k] is not None:
                         chars[k] = len(texts[k])
                 columns = list(batch.columns)
@@ -285,9 +349,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from constella.llm._store import table
-
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(_store.table(spark, sf_dir, "documents"), _store.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
