@@ -329,10 +329,12 @@ def assemble(records: DataFrame) -> DataFrame:
         met = some.select("key", F.explode(own).alias("name")).join(known, "name").select("key", "capture").distinct()
         return some.join(met, "key", "left").withColumn("capture", F.coalesce("capture", "key"))
 
-    requests = linked("request", names)
+    # Requests and metadata records are small; what is linked is written once and read by each of the joins.
+    requests = _store.materialise(linked("request", names), "requests")
     further = requests.filter("record_id is not null").select("capture", F.col("record_id").alias("name"))
     about = linked("metadata", names.unionByName(further).distinct())
-    others = requests.unionByName(about).select("capture", "type", "key", "r")
+    others = _store.materialise(requests.unionByName(about).select("capture", "type", "key", "r"), "linked")
+    _store.drop(requests)
     firsts = others.groupBy("capture", "type").agg(F.min("key").alias("first"))
     slot = F.when(F.col("key") == F.col("first"), F.col("capture")).otherwise(F.concat_ws("|", "capture", "key"))
     placed = others.join(firsts, ["capture", "type"]).select("capture", slot.alias("slot"), "type", "r")
