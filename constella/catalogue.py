@@ -52,33 +52,41 @@ cand AS (SELECT red_image, green_image, anchor_id, relation_no, candidate_id, d,
   FROM {relations} t JOIN p f ON f.image_key % 5 <> 0 JOIN p q ON q.image_key = f.image_key) WHERE d < sd)"""
 
 
-_TOP3 = (
+#: Relations in order of their particles; per anchor a step for each relation that has candidates, with all its options and what later
+#: steps may still take; then the cheapest way to each set of taken candidates that matters later, the first of equally cheap ones.
+_FULL = (
     _RELATIONS
-    + ", rel3 AS (SELECT * FROM rel WHERE near <= 3)"
-    + _candidates("rel3", "near")
+    + _NEAR
+    + ", nrel AS (SELECT *, row_number() OVER (PARTITION BY red_image ORDER BY relation_id) AS rno FROM near_rel)"
+    + _candidates("nrel", "rno")
     + """,
-keys AS (SELECT DISTINCT red_image, green_image, anchor_id FROM cand),
-opt AS (SELECT red_image, green_image, anchor_id, relation_no, candidate_id, d FROM cand
-  UNION ALL SELECT k.*, t.near, 9000000000000, CASE WHEN EXISTS (SELECT 1 FROM cand x WHERE x.red_image = k.red_image AND x.green_image = k.green_image AND x.anchor_id = k.anchor_id AND x.relation_no = t.near) THEN 50.0 ELSE 0.0 END
-  FROM keys k JOIN rel3 t ON t.red_image = k.red_image),
-best AS (SELECT * FROM (SELECT a.red_image, a.green_image, a.anchor_id, a.candidate_id AS c1, b.candidate_id AS c2, c.candidate_id AS c3,
-  row_number() OVER (PARTITION BY a.red_image, a.green_image, a.anchor_id ORDER BY a.d + b.d + c.d, a.candidate_id, b.candidate_id, c.candidate_id) AS k
-  FROM opt a JOIN opt b USING (red_image, green_image, anchor_id) JOIN opt c USING (red_image, green_image, anchor_id)
-  WHERE a.relation_no = 1 AND b.relation_no = 2 AND c.relation_no = 3 AND (a.candidate_id <> b.candidate_id OR a.candidate_id = 9000000000000)
-    AND (a.candidate_id <> c.candidate_id OR a.candidate_id = 9000000000000) AND (b.candidate_id <> c.candidate_id OR b.candidate_id = 9000000000000)) WHERE k = 1),
-asg AS (SELECT b.red_image, b.green_image, b.anchor_id, x.relation_no, x.candidate_id, x.d, x.wr, x.wc, x.r, x.c,
+step AS (SELECT *, row_number() OVER (PARTITION BY red_image, green_image, anchor_id ORDER BY relation_no) AS k FROM (
+  SELECT red_image, green_image, anchor_id, relation_no, list({'c': candidate_id, 'd': d} ORDER BY candidate_id) || [{'c': 9000000000000, 'd': 50.0}] AS options FROM cand GROUP BY ALL)),
+later AS (SELECT a.red_image, a.green_image, a.anchor_id, a.k, list_distinct(flatten(list(list_transform(b.options, lambda o: o.c)))) AS live FROM step a JOIN step b USING (red_image, green_image, anchor_id) WHERE b.k > a.k GROUP BY ALL),
+steps AS MATERIALIZED (SELECT step.*, coalesce(live, []) AS live FROM step LEFT JOIN later USING (red_image, green_image, anchor_id, k)),
+way AS (
+  SELECT DISTINCT red_image, green_image, anchor_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, {'cost': CAST(0 AS DOUBLE), 'picks': CAST([] AS BIGINT[])} AS best FROM steps
+  UNION ALL
+  SELECT red_image, green_image, anchor_id, k, used, min(best) FROM (
+    SELECT w.red_image, w.green_image, w.anchor_id, s.k, list_sort(list_filter(list_append(w.used, o.c), lambda x: x < 9000000000000 AND list_contains(s.live, x))) AS used,
+      {'cost': round(w.best.cost + o.d, 9), 'picks': list_append(w.best.picks, CAST(o.c AS BIGINT))} AS best
+    FROM way w JOIN (SELECT *, unnest(options) AS o FROM steps) s ON w.red_image = s.red_image AND w.green_image = s.green_image AND w.anchor_id = s.anchor_id AND s.k = w.k + 1 WHERE NOT list_contains(w.used, o.c))
+  GROUP BY red_image, green_image, anchor_id, k, used),
+pick AS (SELECT red_image, green_image, anchor_id, unnest(range(1, len(picks) + 1)) AS k, unnest(picks) AS candidate_id FROM (
+  SELECT red_image, green_image, anchor_id, best.picks AS picks FROM way w WHERE k = (SELECT max(k) FROM steps s WHERE s.red_image = w.red_image AND s.green_image = w.green_image AND s.anchor_id = w.anchor_id))),
+asg AS (SELECT x.*,
   (SELECT min(y.d) FROM cand y WHERE y.red_image = x.red_image AND y.green_image = x.green_image AND y.anchor_id = x.anchor_id AND y.relation_no = x.relation_no AND y.candidate_id <> x.candidate_id) AS second
-  FROM best b JOIN cand x USING (red_image, green_image, anchor_id) WHERE x.candidate_id = CASE x.relation_no WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END),
+  FROM pick JOIN steps USING (red_image, green_image, anchor_id, k) JOIN cand x ON x.red_image = pick.red_image AND x.green_image = pick.green_image AND x.anchor_id = pick.anchor_id AND x.relation_no = steps.relation_no AND x.candidate_id = pick.candidate_id),
 sc AS (SELECT *, 100 * exp(-d / 20) * CASE WHEN second IS NULL OR second < 1e-6 THEN 1.0 ELSE exp(-(d / second) / 0.5) END AS score FROM asg),
 geo AS (SELECT k.red_image, k.green_image, k.anchor_id, coalesce(avg(g), 1.0) AS geometry FROM (SELECT DISTINCT red_image, green_image, anchor_id FROM asg) k LEFT JOIN (
   SELECT a.red_image, a.green_image, a.anchor_id, CASE WHEN s >= 1e-6 THEN exp(-abs(sqrt(CAST((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS DOUBLE)) / s - 1)) END AS g FROM asg a JOIN asg b USING (red_image, green_image, anchor_id)
-  JOIN rel3 t ON t.red_image = a.red_image AND t.near = a.relation_no JOIN rel3 u ON u.red_image = b.red_image AND u.near = b.relation_no, LATERAL (SELECT sqrt(CAST((t.dr - u.dr) * (t.dr - u.dr) + (t.dc - u.dc) * (t.dc - u.dc) AS DOUBLE)) AS s)
+  JOIN nrel t ON t.red_image = a.red_image AND t.rno = a.relation_no JOIN nrel u ON u.red_image = b.red_image AND u.rno = b.relation_no, LATERAL (SELECT sqrt(CAST((t.dr - u.dr) * (t.dr - u.dr) + (t.dc - u.dc) * (t.dc - u.dc) AS DOUBLE)) AS s)
   WHERE a.relation_no < b.relation_no) USING (red_image, green_image, anchor_id) GROUP BY ALL),
-pct AS (SELECT t.red_image, f.image_key AS green_image, f.particle_id AS anchor_id, coalesce(base, 0) AS base, coalesce(n / t.e, 0) AS complete, coalesce(geometry, 0) AS geometry, coalesce(hd, 0) AS hd, coalesce(n, 0) AS n
-  FROM (SELECT red_image, count(*) AS e FROM rel3 GROUP BY 1) t JOIN p f ON f.image_key % 5 <> 0
-  LEFT JOIN (SELECT red_image, green_image, anchor_id, avg(score) AS base, count(*) AS n, avg(abs(c - wc)) AS hd FROM sc GROUP BY ALL) m ON m.red_image = t.red_image AND m.green_image = f.image_key AND m.anchor_id = f.particle_id
+pct AS (SELECT t.red_image, f.image_key AS green_image, f.particle_id AS anchor_id, coalesce(base, 0) AS base, coalesce(n / t.e, 0) AS complete, coalesce(geometry, 0) AS geometry, coalesce(hd, 0) AS hd, coalesce(n, 0) AS n, t.e, coalesce(scores, MAP {}) AS scores, coalesce(ids, []) AS ids
+  FROM (SELECT red_image, count(*) AS e FROM nrel GROUP BY 1) t JOIN p f ON f.image_key % 5 <> 0
+  LEFT JOIN (SELECT red_image, green_image, anchor_id, avg(score) AS base, count(*) AS n, avg(abs(c - wc)) AS hd, map(list(relation_no), list(score)) AS scores, list(candidate_id ORDER BY candidate_id) AS ids FROM sc GROUP BY ALL) m ON m.red_image = t.red_image AND m.green_image = f.image_key AND m.anchor_id = f.particle_id
   LEFT JOIN geo ON geo.red_image = t.red_image AND geo.green_image = f.image_key AND geo.anchor_id = f.particle_id)"""
-)
+).replace("WITH p AS", "WITH RECURSIVE p AS", 1)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -90,9 +98,9 @@ def _near_relations(spark, sf: str) -> DataFrame:
     return template.relations(views.templates(spark, sf), neighbours.search_radius(views.templates(spark, sf)))
 
 
-def _top3(spark, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    relations = template.relations(views.templates(spark, sf), limit=3)
-    fields = views.fields(spark, sf)
+def _full(spark, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Relations, fields, and the matches over all relations."""
+    relations, fields = _near_relations(spark, sf), views.fields(spark, sf)
     return relations, fields, M.matched(M.candidates(relations, fields))
 
 
@@ -134,65 +142,42 @@ def nearest_candidate_score(spark, sf):
     return _rounded(named.select(*KEY, "relation_id", "candidate_id", "distance", "score"), "score")
 
 
-@_query("assignment_top3", _TOP3 + " SELECT red_image, green_image, anchor_id, CAST(relation_no AS INTEGER) AS relation_no, candidate_id, d AS distance FROM asg")
-def assignment_top3(spark, sf):
-    return _top3(spark, sf)[2].select(*KEY, "relation_no", "candidate_id", "distance")
+@_query("full_assignment", _FULL + " SELECT red_image, green_image, anchor_id, CAST(relation_no AS INTEGER) AS relation_no, candidate_id, d AS distance FROM asg")
+def full_assignment(spark, sf):
+    return _full(spark, sf)[2].select(*KEY, "relation_no", "candidate_id", "distance")
 
 
-@_query("geometry_consistency", _TOP3 + " SELECT red_image, green_image, anchor_id, round(geometry, 6) AS geometry_consistency FROM geo")
+@_query("geometry_consistency", _FULL + " SELECT red_image, green_image, anchor_id, round(geometry, 6) AS geometry_consistency FROM geo")
 def geometry_consistency(spark, sf):
-    return _rounded(M.geometry_consistency(_top3(spark, sf)[2]), "geometry_consistency")
+    return _rounded(M.geometry_consistency(_full(spark, sf)[2]), "geometry_consistency")
 
 
-@_query("match_percentage", _TOP3 + " SELECT red_image, green_image, anchor_id, round(base * complete * geometry, 6) AS percentage, round(base, 6) AS base_score, round(complete, 6) AS completeness_ratio, round(geometry, 6) AS geometry_consistency FROM pct")
+@_query("match_percentage", _FULL + " SELECT red_image, green_image, anchor_id, round(base * complete * geometry, 6) AS percentage, round(base, 6) AS base_score, round(complete, 6) AS completeness_ratio, round(geometry, 6) AS geometry_consistency FROM pct")
 def match_percentage(spark, sf):
-    relations, fields, matches = _top3(spark, sf)
-    out = M.percentages(relations, fields, matches)
+    out = M.percentages(*_full(spark, sf))
     return _rounded(out.select(*KEY, "percentage", "base_score", "completeness_ratio", "geometry_consistency"), "percentage", "base_score", "completeness_ratio", "geometry_consistency")
 
 
-@_query("top16_matches", _TOP3 + " SELECT red_image, green_image, anchor_id, percentage, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY red_image, green_image ORDER BY percentage DESC, anchor_id) AS k FROM (SELECT *, round(base * complete * geometry, 6) AS percentage FROM pct)) WHERE k <= 16")
+@_query("top16_matches", _FULL + " SELECT red_image, green_image, anchor_id, percentage, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY red_image, green_image ORDER BY percentage DESC, anchor_id) AS k FROM (SELECT *, round(base * complete * geometry, 6) AS percentage FROM pct)) WHERE k <= 16")
 def top16_matches(spark, sf):
-    relations, fields, matches = _top3(spark, sf)
-    return M.top(_rounded(M.percentages(relations, fields, matches).select(*KEY, "percentage"), "percentage"))
+    return M.top(_rounded(M.percentages(*_full(spark, sf)).select(*KEY, "percentage"), "percentage"))
 
 
-@_query("avg_horizontal_distance", _TOP3 + " SELECT red_image, green_image, anchor_id, round(hd, 6) AS horizontal_distance FROM pct WHERE n > 0")
+@_query("avg_horizontal_distance", _FULL + " SELECT red_image, green_image, anchor_id, round(hd, 6) AS horizontal_distance FROM pct WHERE n > 0")
 def avg_horizontal_distance(spark, sf):
-    return _rounded(M.horizontal_distance(_top3(spark, sf)[2]), "horizontal_distance")
+    return _rounded(M.horizontal_distance(_full(spark, sf)[2]), "horizontal_distance")
 
 
-@_query("full_assignment")
-def full_assignment(spark, sf):
-    relations = _near_relations(spark, sf)
-    return M.matched(M.candidates(relations, views.fields(spark, sf))).select(*KEY, "relation_no", "candidate_id", "distance")
-
-
-@_query("full_match_percentage")
+@_query("full_match_percentage", _FULL + """ SELECT red_image, green_image, anchor_id, percentage, base_score, completeness_ratio, geometry_consistency, horizontal_distance, individual_scores, matched_ids, CAST(k AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY red_image, green_image ORDER BY percentage DESC, anchor_id) AS k FROM (
+    SELECT red_image, green_image, anchor_id, round(base * complete * geometry, 6) AS percentage, round(base, 6) AS base_score, round(complete, 6) AS completeness_ratio, round(geometry, 6) AS geometry_consistency, round(hd, 6) AS horizontal_distance,
+      CASE WHEN n = 0 THEN '' ELSE array_to_string(list_transform(range(1, e + 1), lambda i: printf('%.6f', coalesce(scores[i], 0.0))), ',') END AS individual_scores, array_to_string(ids, ',') AS matched_ids FROM pct)) WHERE k <= 16""")
 def full_match_percentage(spark, sf):
-    relations, fields = _near_relations(spark, sf), views.fields(spark, sf)
-    return M.top(M.percentages(relations, fields, M.matched(M.candidates(relations, fields))))
-
-
-def _full(spark, sf: str) -> DataFrame:
-    return M.matched(M.candidates(_near_relations(spark, sf), views.fields(spark, sf)))
-
-
-@_query("full_geometry_consistency")
-def full_geometry_consistency(spark, sf):
-    return _rounded(M.geometry_consistency(_full(spark, sf)), "geometry_consistency")
-
-
-@_query("full_avg_horizontal_distance")
-def full_avg_horizontal_distance(spark, sf):
-    return _rounded(M.horizontal_distance(_full(spark, sf)), "horizontal_distance")
-
-
-@_query("full_top16_matches")
-def full_top16_matches(spark, sf):
-    relations, fields = _near_relations(spark, sf), views.fields(spark, sf)
-    scored = M.percentages(relations, fields, M.matched(M.candidates(relations, fields)))
-    return M.top(_rounded(scored.select(*KEY, "percentage"), "percentage"))
+    """The whole result rows of the best anchors; lists are written as text, as in the reports."""
+    names = ("percentage", "base_score", "completeness_ratio", "geometry_consistency", "horizontal_distance")
+    scored = _rounded(M.percentages(*_full(spark, sf)), *names)
+    listed = F.array_join(F.transform("individual_scores", lambda x: F.format_string("%.6f", x)), ",")
+    return M.top(scored).select(*KEY, *names, listed.alias("individual_scores"), F.array_join("matched_ids", ",").alias("matched_ids"), "rank")
 
 
 _RUN = """WITH ev AS (SELECT user_id AS sample_dir, event_id, CASE event_id % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' WHEN 3 THEN 'queued' END AS state, CAST(json_extract_string(props, '$.k') AS INTEGER) AS attempt FROM events),
@@ -276,11 +261,11 @@ def bbox_size(spark, sf):
     return part.select("p_partkey", G.box_size("zero", "zero", "high_row", "high_col").cast("long").alias("size"))
 
 
-@_query("running_average_color", "SELECT vec_id, CAST(list_reduce(list_transform(embedding[1:8], lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 255) AS INTEGER)), lambda a, x: CAST(round_even((a + x) / 2.0, 0) AS INTEGER)) AS INTEGER) AS color FROM embeddings")
+@_query("running_average_color", "SELECT vec_id, CAST(list_reduce(list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 255) AS INTEGER)), lambda a, x: CAST(round_even((a + x) / 2.0, 0) AS INTEGER)) AS INTEGER) AS color FROM embeddings")
 def running_average_color(spark, sf):
-    channel = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(F.abs(x.cast("double")) * 255).cast("int"))
+    channel = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 255).cast("int"))
     rows = views.table(spark, sf, "embeddings").select("vec_id", channel.alias("x"))
-    return rows.select("vec_id", G.running_colour(F.slice("x", 2, 7), F.col("x")[0]).alias("color"))
+    return rows.select("vec_id", G.running_colour(F.slice("x", F.lit(2), F.size("x") - 1), F.col("x")[0]).alias("color"))
 
 
 _NAMES = "concat('/root/s', page_id % 3, '/GB.', substr(url, 9, 6), '.10x.', page_id % 40, CASE WHEN page_id % 7 = 0 THEN '' ELSE 'mm' END, CASE WHEN page_id % 4 = 0 THEN '.Locations fixed' ELSE '' END, CASE WHEN page_id % 5 = 0 THEN '.TIF' WHEN page_id % 11 = 0 THEN '.png' ELSE '.tiff' END)"

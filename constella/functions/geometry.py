@@ -13,7 +13,7 @@ def _c(x) -> Column:
 
 def distance(r1, c1, r2, c2) -> Column:
     """Euclidean distance; whole-number coordinates give the same bits in every engine."""
-    dr, dc = _c(r1) - _c(r2), _c(c1) - _c(c2)
+    dr, dc = (_c(r1) - _c(r2)).cast("long"), (_c(c1) - _c(c2)).cast("long")
     return F.sqrt((dr * dr + dc * dc).cast("double"))
 
 

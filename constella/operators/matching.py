@@ -10,21 +10,32 @@ from constella.operators.assignment import KEY, assignment
 from constella.operators.neighbours import cells
 
 
+#: Parts into which the particles of one directory are dealt where they meet the directory's templates.
+DEALT = 16
+
+
+def _with_templates(fields: DataFrame, small: DataFrame) -> DataFrame:
+    """Field particles with the rows of their directory's templates; a directory's particles are dealt to several tasks."""
+    salted = fields.withColumn("_salt", F.pmod(F.xxhash64("green_image", "anchor_id"), F.lit(DEALT)).cast("int"))
+    return salted.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))), ["sample_dir", "_salt"]).drop("_salt")
+
+
 def anchors(relations: DataFrame, fields: DataFrame) -> DataFrame:
     """Every particle of every field against every relation of the templates of its directory, with the point looked for."""
     f = fields.select("sample_dir", F.col("image_key").alias("green_image"), F.col("particle_id").alias("anchor_id"), "center_row", "center_col")
-    met = f.join(relations, "sample_dir")
+    met = _with_templates(f, relations.select("sample_dir", "red_image", "relation_no", "search_distance", "dr", "dc"))
     return met.select(*KEY, "relation_no", "search_distance", (F.col("center_row") + F.col("dr")).alias("want_row"), (F.col("center_col") + F.col("dc")).alias("want_col"))
 
 
 def candidates(relations: DataFrame, fields: DataFrame) -> DataFrame:
     """Field particles nearer to the point looked for than the relation's search distance.
 
-    No search distance exceeds the cell width, so the cells around a point hold all its candidates.
+    No search distance exceeds the cell width, so a point's candidates lie in the cells around its own. The
+    particles are listed in all nine of theirs, as they are fewer than the points by the number of relations.
     """
     size = F.lit(K.MAX_SEARCH_DISTANCE)
-    a = anchors(relations, fields).withColumn("cell", F.explode(cells(F.col("want_row"), F.col("want_col"), size, 1))).alias("a")
-    p = fields.select("image_key", "particle_id", "center_row", "center_col", cells(F.col("center_row"), F.col("center_col"), size, 0)[0].alias("cell")).alias("p")
+    a = anchors(relations, fields).withColumn("cell", cells(F.col("want_row"), F.col("want_col"), size, 0)[0]).alias("a")
+    p = fields.select("image_key", "particle_id", "center_row", "center_col", F.explode(cells(F.col("center_row"), F.col("center_col"), size, 1)).alias("cell")).alias("p")
     d = G.distance("a.want_row", "a.want_col", "p.center_row", "p.center_col")
     met = a.join(p, (F.col("a.green_image") == F.col("p.image_key")) & (F.col("a.cell") == F.col("p.cell")) & (d < F.col("a.search_distance")))
     return met.select(*[f"a.{c}" for c in KEY], "a.relation_no", F.col("p.particle_id").cast("long").alias("candidate_id"), d.alias("distance"), "a.want_row", "a.want_col", "p.center_row", "p.center_col")
@@ -79,7 +90,7 @@ def horizontal_distance(matches: DataFrame) -> DataFrame:
 def percentages(relations: DataFrame, fields: DataFrame, matches: DataFrame) -> DataFrame:
     """One row per template and anchor: mean score times completeness times geometry; 0 where nothing matched."""
     expected = relations.groupBy("red_image").agg(F.count(F.lit(1)).alias("expected"), F.first("sample_dir").alias("sample_dir"))
-    every = fields.select("sample_dir", F.col("image_key").alias("green_image"), F.col("particle_id").alias("anchor_id")).join(expected, "sample_dir").drop("sample_dir")
+    every = _with_templates(fields.select("sample_dir", F.col("image_key").alias("green_image"), F.col("particle_id").alias("anchor_id")), expected).drop("sample_dir")
     m = F.col("m")
     measured = _by_anchor(matches).select(
         *KEY, _mean(F.transform(m, lambda x: x["score"])).alias("base"), F.size(m).alias("n"), _geometry(m).alias("geometry"), _offset(m).alias("offset"),

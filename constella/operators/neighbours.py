@@ -10,15 +10,44 @@ from constella.functions import geometry as G
 POINT = ["image_key", "particle_id", "center_row", "center_col"]
 
 
-def kth_distance(particles: DataFrame, k: int = K.NEIGHBOUR_RANK) -> DataFrame:
-    """(image_key, particle_id, distance) of each particle's k-th nearest other particle of its image, if there is one."""
-    a, b = (particles.select(*POINT).alias(x) for x in "ab")
-    pairs = a.join(b, (F.col("a.image_key") == F.col("b.image_key")) & (F.col("a.particle_id") != F.col("b.particle_id")))
-    pairs = pairs.select("a.image_key", "a.particle_id", G.distance("a.center_row", "a.center_col", "b.center_row", "b.center_col").alias("distance"))
+#: Particles to a grid cell on the average, and how much wider the second grid's cells are.
+PER_CELL, WIDER = 4, 8
+
+
+def _grid(particles: DataFrame) -> DataFrame:
+    """(image_key, size): cells that hold ``PER_CELL`` particles on the average."""
+    extent = lambda c: (F.max(c) - F.min(c) + 1).cast("double")
+    return particles.groupBy("image_key").agg(F.greatest(F.lit(1.0), F.ceil(F.sqrt(extent("center_row") * extent("center_col") * PER_CELL / F.count(F.lit(1))))).alias("size"))
+
+
+def _kth_in_reach(points: DataFrame, others: DataFrame, k: int, size=None) -> DataFrame:
+    """The k-th nearest of ``others`` in the nine cells around each point; without a size, in its whole image."""
+    a, b = points, others.select(*[F.col(c).alias(f"_{c}") for c in POINT], *(["size"] if size is not None else []))
+    on = (F.col("image_key") == F.col("_image_key")) & (F.col("particle_id") != F.col("_particle_id"))
+    if size is not None:
+        a = a.withColumn("_cell", cells(F.col("center_row"), F.col("center_col"), size, 0)[0])
+        b = b.withColumn("_at", F.explode(cells(F.col("_center_row"), F.col("_center_col"), size, 1))).drop("size")
+        on = on & (F.col("_cell") == F.col("_at"))
+    pairs = a.join(b, on).withColumn("distance", G.distance("center_row", "center_col", "_center_row", "_center_col"))
     w = Window.partitionBy("image_key", "particle_id").orderBy("distance")
     # The bound on the row number lets every task drop farther neighbours before the shuffle.
-    nearest = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return nearest.filter(F.col("rank") == k).drop("rank")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).filter(F.col("rank") == k).select(*points.columns, "distance")
+
+
+def kth_distance(particles: DataFrame, k: int = K.NEIGHBOUR_RANK) -> DataFrame:
+    """(image_key, particle_id, distance) of each particle's k-th nearest other particle of its image, if there is one.
+
+    Particles meet on grid cells. What lies nearer than a cell's width lies in the nine cells around a particle, so
+    a k-th distance up to that width is certain. The few others look into a grid of wider cells, and only those that
+    this leaves open, which are remote or in images of hardly more than k particles, meet their whole image.
+    """
+    points = particles.select(*POINT).join(_grid(particles), "image_key")
+    key, kept = ["image_key", "particle_id"], [*POINT, "size"]
+    near = _kth_in_reach(points, points, k, F.col("size")).filter(F.col("distance") <= F.col("size")).select(*key, "distance")
+    rest = points.join(near, key, "left_anti").select(*kept)
+    wide = _kth_in_reach(rest, points, k, F.col("size") * WIDER).filter(F.col("distance") <= F.col("size") * WIDER).select(*key, "distance")
+    far = _kth_in_reach(rest.join(wide, key, "left_anti").select(*kept), points, k).select(*key, "distance")
+    return near.unionByName(wide).unionByName(far)
 
 
 def search_radius(particles: DataFrame, k: int = K.NEIGHBOUR_RANK) -> DataFrame:

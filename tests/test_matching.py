@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -32,6 +33,39 @@ def test_assignment_agrees_with_brute_force(seed):
         assert len(set(used)) == len(used)
 
 
+def test_crowded_anchors_take_no_time():
+    began = time.time()
+    r = np.random.default_rng(2)
+    for options in (
+        [[(1, 5.0)]] * 1200, [[((k + c) % 1200, 7.0) for c in range(6)] for k in range(1200)], [[((k + c) % 1200, float(r.integers(1, 49))) for c in range(6)] for k in range(1200)],
+        [[(c, 10.0) for c in range(8)] for _ in range(20)], [[(c, float(r.integers(1, 49))) for c in range(8)] for _ in range(20)],
+    ):
+        got = [g for g in A.assign(options) if g is not None]
+        assert len(set(got)) == len(got)
+    assert A.assign([[(1, 5.0)]] * 1200) == [1] + [None] * 1199
+    assert A.assign([[(c, 10.0) for c in range(8)] for _ in range(20)]) == [*range(8), *[None] * 12]
+    assert time.time() - began < 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_kth_distances_agree_with_all_pairs(spark, seed):
+    r = np.random.default_rng(seed)
+    rows = []
+    for image, n in (("dense", 300), ("few", 3), ("four", 4), ("one", 1), ("pairs", 40)):
+        at = r.integers(0, 40 if image == "dense" else 3000, (n, 2))
+        at = np.repeat(at[: n // 2], 2, axis=0) if image == "pairs" else at
+        at = np.concatenate([at, [[10**6, 10**6 + k] for k in range(2)]]) if image == "dense" else at  # remote ones
+        rows += [("d", image, k, int(a), int(b), 1) for k, (a, b) in enumerate(at)]
+    table = spark.createDataFrame(rows, "sample_dir string, image_key string, particle_id int, center_row int, center_col int, bbox_size int")
+    for k in (1, 3):
+        want = {}
+        for _, image, p, a, b, _ in rows:
+            d = sorted(np.hypot(a - y, b - x) for _, i, q, y, x, _ in rows if i == image and q != p)
+            if len(d) >= k:
+                want[image, p] = d[k - 1]
+        assert {(x.image_key, x.particle_id): x.distance for x in neighbours.kth_distance(table, k).collect()} == pytest.approx(want)
+
+
 def points(spark, image, role_points, first=1):
     return spark.createDataFrame([("d", image, first + k, r, c, s) for k, (r, c, s) in enumerate(role_points)], "sample_dir string, image_key string, particle_id int, center_row int, center_col int, bbox_size int")
 
@@ -88,14 +122,14 @@ def test_queries_agree_with_their_sql(spark):
     con, sf = duckdb.connect(), "/root/testdata/sf0.001"
     for t in "customer orders events embeddings pages part".split():
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    for name in ("match_percentage", "top16_matches", "resume_plan", "override_rows", "regex_role", "master_best"):
+    for name in ("nn_search_radius", "match_candidates", "full_assignment", "geometry_consistency", "match_percentage", "top16_matches", "avg_horizontal_distance", "full_match_percentage", "resume_plan", "override_rows", "regex_role", "master_best", "running_average_color"):
         df, want = catalogue.QUERIES[name](spark, sf), con.sql(catalogue.ORACLE_SQL[name])
         assert sorted(df.columns) == sorted(want.columns)
         columns = sorted(df.columns)
         assert _values(df.collect(), columns) == _values([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()], columns), name
 
 
-def test_full_queries_take_all_relations(spark, tmp_path):
+def test_queries_take_all_relations(spark, tmp_path):
     # A primary with five neighbours within the radius, and one far beyond it; the field is a moved, disturbed copy.
     red = [(500, 500, 900), (540, 500, 5), (460, 505, 5), (500, 544, 5), (503, 455, 5), (545, 545, 5), (900, 900, 5)]
     green = [(r + 9 + k % 3, c - 7 + 2 * (k % 2), 5) for k, (r, c, _) in enumerate(red)] + [(552, 498, 5), (512, 540, 5)]
@@ -123,9 +157,9 @@ def test_full_queries_take_all_relations(spark, tmp_path):
         geometry = np.mean(pairs) if pairs else 1.0
         want[anchor] = (np.mean(scores) * len(m) / len(near) * geometry, geometry, np.mean([abs(g[1] - w[1]) for w, g, _, _ in m]))
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r.anchor_id: r.percentage for r in run("full_top16_matches")} == pytest.approx({k: v[0] for k, v in want.items()}, abs=2e-6)
-    assert {r.anchor_id: r.geometry_consistency for r in run("full_geometry_consistency")} == pytest.approx({k: v[1] for k, v in want.items() if v[1] is not None}, abs=2e-6)
-    assert {r.anchor_id: r.horizontal_distance for r in run("full_avg_horizontal_distance")} == pytest.approx({k: v[2] for k, v in want.items() if v[1] is not None}, abs=2e-6)
+    assert {r.anchor_id: r.percentage for r in run("top16_matches")} == pytest.approx({k: v[0] for k, v in want.items()}, abs=2e-6)
+    assert {r.anchor_id: r.geometry_consistency for r in run("geometry_consistency")} == pytest.approx({k: v[1] for k, v in want.items() if v[1] is not None}, abs=2e-6)
+    assert {r.anchor_id: r.horizontal_distance for r in run("avg_horizontal_distance")} == pytest.approx({k: v[2] for k, v in want.items() if v[1] is not None}, abs=2e-6)
     assert max(r.relation_no for r in run("full_assignment")) == 5
 
 
