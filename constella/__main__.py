@@ -1,43 +1,50 @@
-"""python -m constella ROOT: a resumable batch over the sample directories below ROOT."""
+"""python -m constella ROOT: a resumable batch over the sample directories below ROOT.
+
+With ``--decisions FILE`` the review decisions of a CSV (sample_dir, red_square, green_square, index) are applied to
+the results of an earlier batch instead.
+"""
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import functions as F
 
 from constella.functions import naming as N
-from constella.plans import batch
+from constella.plans import approval, batch
 from constella.session import arguments, session
-from constella.sources import images as sources, results
+from constella.sources import images as sources, results, store
 from constella.streaming import runlog
 
+LOG = logging.getLogger("constella")
+
 
 def main(argv: list[str] | None = None) -> int:
     args = arguments(argv)
+    logging.basicConfig(level=logging.DEBUG if args.verbose else logging.WARNING)
     spark = session(master=args.master)
-    out = args.out or f"{args.root}/constella"
+    out = store.qualified(spark, args.out or f"{args.root}/constella")
+    if args.decisions:
+        approval.apply(spark, out, approval.read_decisions(spark, args.decisions))
+        return 0
     base = f"{out}/runs"
-    resume = runlog.latest_run_id(base) if args.resume_latest else args.resume
-    states = runlog.fold(runlog.read_events(spark, f"{base}/{resume}/events.jsonl")) if resume else None
+    resume = runlog.latest_run_id(spark, base) if args.resume_latest else args.resume
+    states = runlog.fold(runlog.read_events(spark, f"{base}/{resume}")) if resume else None
     dirs = sources.sample_dirs(spark, args.root).withColumn("path", F.col("sample_dir"))
-    plan = runlog.resume_plan(dirs.withColumn("sample_dir", N.directory_key("path", F.lit(args.root))), states, args.retry_failed).collect()  # one row per directory
-    log = runlog.RunLog(base, args.root, resume_from=resume, attempts={r.sample_dir: r.attempt - (r.action == "process") for r in plan})
-    failed = 0
+    planned = runlog.resume_plan(dirs.withColumn("sample_dir", N.directory_key("path", F.lit(args.root))), states, args.retry_failed)
+    plan = planned.collect()  # one row per directory
+    todo, skipped = [r for r in plan if r.action == "process"], [r for r in plan if r.action == "skip"]
+    log = runlog.RunLog(spark, base, args.root, resume_from=resume)
+    told = lambda kind, rows, **more: [{"event_type": f"directory_{kind}", "sample_dir": r.sample_dir, "attempt": r.attempt} | {k: f(r) for k, f in more.items()} for r in rows]
     try:
-        for r in plan:
-            log.emit("directory_discovered", r.sample_dir, log.attempts.get(r.sample_dir, 0))
-            if r.action == "skip":
-                log.emit("directory_skipped", r.sample_dir, r.attempt, skip_reason=r.skip_reason, resume_source_run_id=resume)
-        for r in plan:
-            if r.action == "skip":
-                continue
-            attempt = log.start_attempt(r.sample_dir)
-            log.emit("directory_started", r.sample_dir, attempt)
-            try:
-                _directory(spark, r.path, f"{out}/{r.sample_dir}", args)
-                log.emit("directory_completed", r.sample_dir, attempt)
-            except Exception as e:  # one directory's failure leaves the others
-                failed += 1
-                log.emit("directory_failed", r.sample_dir, attempt, error_type=type(e).__name__, error_message=str(e)[:500])
+        log.emit_all([{"event_type": "directory_discovered", "sample_dir": r.sample_dir, "attempt": 0} for r in plan])
+        log.emit_all(told("skipped", skipped, skip_reason=lambda r: r.skip_reason, resume_source_run_id=lambda _: resume) + told("started", todo))
+        failed: dict[str, str] = {}
+        if todo:
+            chosen = spark.createDataFrame([(r.path,) for r in todo], "path string")
+            batch.run_batch(spark, args.root, out, log.run_id, opening_mode=args.opening, directories=chosen, everything=args.process_only or args.always_process, match=not args.process_only, pictures=args.annotate)
+            failed = _failed(spark, out, chosen)
+        log.emit_all(told("completed", [r for r in todo if r.path not in failed]) + told("failed", [r for r in todo if r.path in failed], error_message=lambda r: failed[r.path]))
         if not args.process_only:
             results.write_master(spark, out)
     except BaseException:
@@ -47,49 +54,14 @@ def main(argv: list[str] | None = None) -> int:
     return int(bool(failed))
 
 
-def _directory(spark, path: str, out: str, args) -> None:
-    everything = args.process_only or args.always_process or not _there(spark, f"{out}/processed")
-    _process(spark, path, f"{out}/processed", args.opening, None if everything else f"{out}/processed")
-    done = spark.read.parquet(f"{out}/processed")
-    if args.process_only:
-        return
-    ranked = batch.match_images(batch.particles(done)).cache()
-    results.write_percentages(ranked, f"{out}/data/percentage_data.csv")
-    results.write_distances(batch.horizontal_rows(ranked), f"{out}/data/horizontal_distance.csv")
-    if args.annotate:
-        results.write_files(batch.annotated(done.filter("role = 'green'"), ranked), _uri(f"{out}/pictures"))
-    ranked.unpersist()
-
-
-def _process(spark, path: str, out: str, opening: str, cache: str | None) -> None:
-    """Writes the processed table of a directory, aside and then into its place; valid rows of ``cache`` stay for images still there."""
-    if cache:
-        kept = spark.read.parquet(cache)
-        images = sources.read_images(spark, path)
-        todo = sources.unprocessed(images, kept)
-        valid = sources.processed(kept, kept).join(images.select("path"), "path", "left_semi")
-        if todo.isEmpty() and valid.count() == kept.count():
-            return
-        done = batch.process_images(todo, opening).unionByName(valid)
-    else:
-        done = batch.process_images(sources.read_images(spark, path), opening)
-    done.write.mode("overwrite").parquet(f"{out}.new")
-    fs, hadoop = _filesystem(spark, out), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs.delete(hadoop(out), True)
-    if not fs.rename(hadoop(f"{out}.new"), hadoop(out)):
-        raise OSError(f"{out}.new can't be renamed")
-
-
-def _filesystem(spark, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _there(spark, path: str) -> bool:
-    return _filesystem(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
-
-
-def _uri(path: str) -> str:
-    return path if "://" in path else f"file://{path}"
+def _failed(spark, out: str, directories) -> dict[str, str]:
+    """The directories of which no image could be processed, with an image's error; warnings and errors of all are logged."""
+    rows = batch.current(spark, out).join(directories.withColumnRenamed("path", "sample_dir"), "sample_dir", "left_semi")
+    if LOG.isEnabledFor(logging.DEBUG):
+        for r in rows.filter("error is not null or warning is not null").select("path", "error", "warning").toLocalIterator():
+            LOG.debug("%s: %s", r.path, r.error or r.warning)
+    per = rows.groupBy("sample_dir").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("good"), F.min("error").alias("error"))
+    return {r.sample_dir: r.error for r in per.filter("good = 0").collect()}  # at most one row per directory
 
 
 if __name__ == "__main__":

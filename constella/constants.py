@@ -6,6 +6,7 @@ RADIUS_FACTOR = 1.5
 FALLBACK_RADIUS = 200
 SEARCH_FACTOR = 0.75
 MAX_SEARCH_DISTANCE = 50
+OFFSET_ANGLE = 30
 
 # Scores
 SKIP_COST = 50.0

@@ -44,6 +44,11 @@ def green_square(name) -> Column:
     return extract(name, MILLIMETRES, stem(name))
 
 
+def millimetres(name) -> Column:
+    """The ordinal with its unit, or the stem where there is none."""
+    return extract(name, r"(\d+mm)", stem(name))
+
+
 def short_label(name) -> Column:
     """The last twelve characters of what stands before the first dot."""
     return F.expr("right(split_part(`%s`, '.', 1), 12)" % name) if isinstance(name, str) else F.right(F.split_part(name, F.lit("."), F.lit(1)), F.lit(12))
@@ -53,10 +58,20 @@ def cache_path(path) -> Column:
     return F.concat(parent(path), F.lit("/data/"), stem(base_name(path)), F.lit("_processed_data.json"))
 
 
+def image_cache_path(path) -> Column:
+    """The array file beside a cache document; null where the path isn't one's."""
+    return F.when(_c(path).endswith("_processed_data.json"), F.regexp_replace(_c(path), "_processed_data[.]json$", "_processed_image.npy"))
+
+
+def local(path) -> Column:
+    """A path without the scheme of local files, which is written with one slash or three."""
+    return F.regexp_replace(_c(path), "^file:/+", "/")
+
+
 def directory_key(path, root) -> Column:
     """Relative to the root where the path lies below it, else as it is."""
-    r = F.rtrim(_c(root), F.lit("/"))
-    return F.when(F.startswith(_c(path), F.concat(r, F.lit("/"))), F.substring(_c(path), F.length(r) + 2, F.lit(1 << 30))).otherwise(_c(path))
+    p, r = local(path), F.rtrim(local(root), F.lit("/"))
+    return F.when(F.startswith(p, F.concat(r, F.lit("/"))), F.substring(p, F.length(r) + 2, F.lit(1 << 30))).otherwise(p)
 
 
 def run_id(at) -> Column:

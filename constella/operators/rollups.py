@@ -76,7 +76,3 @@ def master_best(rows: DataFrame) -> DataFrame:
     """The best row per directory name, template and field; directories of one name share their keys."""
     return best_rows(master(rows), ["sample_dir", "red_square", "green_square"], "percentage", "ord")
 
-
-def table_rows(rows: DataFrame) -> DataFrame:
-    """Result rows under the legacy key (red_square, green_square), which need not be unique."""
-    return rows.select("red_square", "green_square", *[c for c in rows.columns if c not in ("red_square", "green_square", "red_image", "green_image")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from constella import schemas
+from constella.functions import naming as N
 from constella.operators import rollups
 from constella.sources import results
 
@@ -18,14 +19,17 @@ def candidates(rows: DataFrame, best_only: bool = True) -> DataFrame:
 
 
 def apply(spark: SparkSession, root: str, decisions: DataFrame) -> tuple[str, str]:
-    """Marks the chosen rows of every directory that a decision names, rewrites its table, and writes the master tables."""
+    """Marks the chosen rows of every directory that a decision names, rewrites their tables in one job, and writes the master tables.
+
+    Decisions name directories by their keys below ``root``, or by their paths.
+    """
+    named = decisions.withColumn("sample_dir", N.directory_key("sample_dir", F.lit(root)))
     rows = results.read_all(spark, root)
-    for row in decisions.select("sample_dir").distinct().toLocalIterator():
-        own = rows.filter(F.col("sample_dir").isin(row.sample_dir, f"{root.rstrip('/')}/{row.sample_dir}"))
-        marked = rollups.apply_overrides(own.withColumn("sample_dir", F.lit(row.sample_dir)), decisions.filter(F.col("sample_dir") == row.sample_dir))
-        columns = [c.split(" ")[0] for c in schemas.PERCENTAGE_CSV.split(", ")]
-        folder = row.sample_dir if row.sample_dir.startswith(("/", root)) or "://" in row.sample_dir else f"{root.rstrip('/')}/{row.sample_dir}"
-        results.rewrite(marked.orderBy("ord").select(*[results.six_places(c).alias(c) if c == "percentage" else c for c in columns]), f"{folder}/data/percentage_data.csv")
+    rows = rows.withColumn("sample_dir", N.directory_key("sample_dir", F.lit(root)))
+    marked = rollups.apply_overrides(rows.join(named.select("sample_dir").distinct(), "sample_dir", "left_semi"), named)
+    columns = [c.split(" ")[0] for c in schemas.PERCENTAGE_CSV.split(", ")]
+    text = marked.select("sample_dir", *[results.six_places(c).alias(c) if c == "percentage" else c for c in columns], "ord")
+    results.write_each(text, [F.col("ord")], columns, root, "percentage_data.csv")
     return results.write_master(spark, root)
 
 

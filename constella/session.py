@@ -23,7 +23,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--process-only", action="store_true", help="process images, don't match")
     p.add_argument("--always-process", action="store_true", help="process images that have a valid cached result, too")
     p.add_argument("--opening", choices=["flat_disk", "nonflat_compat"], default="flat_disk")
-    p.add_argument("--annotate", action="store_true", help="write annotated pictures of the fields")
+    p.add_argument("--annotate", action="store_true", help="write pictures: annotated fields, particles, review sheets")
+    p.add_argument("--decisions", metavar="FILE", help="apply review decisions to the results of an earlier run")
+    p.add_argument("--verbose", action="store_true", help="log warnings and errors of images")
     p.add_argument("--retry-failed", action="store_true")
     resume = p.add_mutually_exclusive_group()
     resume.add_argument("--resume", metavar="RUN_ID")

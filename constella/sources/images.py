@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from constella.functions import naming as N
+from constella.sources import store
 
 _FILES = "*.{tif,tiff,TIF,TIFF,Tif,Tiff}"
 
@@ -22,13 +23,18 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _named(files: DataFrame) -> DataFrame:
-    named = files.withColumn("name", N.base_name("path")).withColumn("role", N.role("name")).withColumn("sample_dir", N.parent("path"))
+    # Sources write the scheme of local files with one slash or three.
+    named = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).withColumn("name", N.base_name("path")).withColumn("role", N.role("name")).withColumn("sample_dir", N.parent("path"))
     return named.filter("role is not null")
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Templates and fields with their RGB rasters, decoded by Spark; the raster of an unreadable file is null."""
-    files = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").option("pathGlobFilter", _FILES).load(root)
+def read_images(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Templates and fields with their RGB rasters, decoded by Spark; the raster of an unreadable file is null.
+
+    Of one root all directories below it are read, of a list of directories just the files that lie in them.
+    """
+    files = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", _FILES)
+    files = files.option("recursiveFileLookup", "true").load(root) if isinstance(root, str) else files.load([store.literal(d) for d in root])
     # The image source names files by their escaped URI, other sources by their path.
     path = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
     flat = files.select(path.alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from constella import schemas
+from constella import constants as K, schemas
 from constella.functions import naming as N
 from constella.operators import rollups
+from constella.sources import store
 
 NUMBERS = ["percentage", "distance", "base_score", "completeness_ratio", "geometry_consistency"]
 
@@ -48,7 +49,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str = schemas.P
 def read_all(spark: SparkSession, root: str, name: str = "percentage_data.csv") -> DataFrame:
     """The result rows of all directories below ``root``: <sample_dir>/data/<name>, a file or a folder of parts. None there gives no rows."""
     rows = spark.read.schema(schemas.PERCENTAGE_CSV).option("header", "true").option("multiLine", "true").option("escape", '"').option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root)
-    rows = rows.withColumn("file", F.input_file_name()).withColumn("ord", F.monotonically_increasing_id())
+    # Files are named by their escaped URIs here.
+    rows = rows.withColumn("file", F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))).withColumn("ord", F.monotonically_increasing_id())
     found = F.regexp_extract("file", rf"^(.*)/data/{name.replace('.', '[.]')}(?:/[^/]*)?$", 1)
     return rows.withColumn("sample_dir", found).filter("sample_dir <> ''")
 
@@ -128,13 +130,13 @@ def legacy_particles(caches: DataFrame) -> DataFrame:
 
 
 def legacy_relations(caches: DataFrame) -> DataFrame:
-    """(image_key, primary_id, relation_no, relation_id) of cached templates; a relation without its particle has no offsets."""
-    r = caches.filter("valid and relations is not null").select(F.col("file").alias("red_image"), F.col("relations.primary_particle_id").alias("primary_id"), F.posexplode("relations.relation_ids").alias("pos", "relation_id"))
+    """(red_image, primary_id, relation_no, relation_id), offsets and constants of cached templates; a relation without its particle has no offsets."""
+    r = caches.filter("valid and relations is not null").select(F.col("file").alias("red_image"), F.col("relations.primary_particle_id").alias("primary_id"), F.col("relations").alias("_own"), F.posexplode("relations.relation_ids").alias("pos", "relation_id"))
     places = legacy_particles(caches).select(F.col("image_key").alias("red_image"), "particle_id", "center_row", "center_col")
     first = places.toDF("red_image", "primary_id", "_r", "_c")
     other = places.toDF("red_image", "relation_id", "_rr", "_cc")
     joined = r.join(first, ["red_image", "primary_id"], "left").join(other, ["red_image", "relation_id"], "left")
-    return joined.select("red_image", "primary_id", (F.col("pos") + 1).alias("relation_no"), "relation_id", (F.col("_rr") - F.col("_r")).alias("dr"), (F.col("_cc") - F.col("_c")).alias("dc"))
+    return joined.select("red_image", "primary_id", (F.col("pos") + 1).alias("relation_no"), "relation_id", (F.col("_rr") - F.col("_r")).alias("dr"), (F.col("_cc") - F.col("_c")).alias("dc"), *[F.coalesce(F.col("_own")[k], F.lit(float(v))).alias(k) for k, v in (("offset_angle", K.OFFSET_ANGLE), ("search_distance_modifier", K.SEARCH_FACTOR), ("max_search_distance", K.MAX_SEARCH_DISTANCE))])
 
 
 def particle_json(particles: DataFrame):
@@ -145,15 +147,25 @@ def particle_json(particles: DataFrame):
     ))
 
 
-def relations_json(relations: DataFrame) -> DataFrame:
-    """Templates as JSON documents of identifiers."""
+def relations_json(relations: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """Templates as JSON documents: identifiers, constants, and with ``matches`` (red_image, relation_id, candidate_id) the equivalent particles."""
     whole = relations.groupBy("red_image", "primary_id").agg(F.sort_array(F.collect_list(F.struct("relation_no", "relation_id"))).alias("r"))
-    return whole.select("red_image", F.to_json(F.struct(F.col("primary_id").alias("primary_particle_id"), F.transform("r", lambda x: x["relation_id"]).alias("relation_ids"))).alias("relations"))
+    if matches is None:
+        whole = whole.withColumn("e", F.array().cast("array<array<bigint>>"))
+    else:
+        pairs = matches.groupBy("red_image").agg(F.sort_array(F.collect_set(F.array(F.col("relation_id").cast("long"), F.col("candidate_id").cast("long")))).alias("e"))
+        whole = whole.join(pairs, "red_image", "left").withColumn("e", F.coalesce("e", F.array().cast("array<array<bigint>>")))
+    constants = [F.lit(float(v)).alias(k) for k, v in (("offset_angle", K.OFFSET_ANGLE), ("search_distance_modifier", K.SEARCH_FACTOR), ("max_search_distance", K.MAX_SEARCH_DISTANCE))]
+    return whole.select("red_image", F.to_json(F.struct(F.col("primary_id").alias("primary_particle_id"), F.transform("r", lambda x: x["relation_id"]).alias("relation_ids"), F.col("e").alias("equivalent_particles"), *constants)).alias("relations"))
 
 
 def write_particles(particles: DataFrame, path: str) -> None:
-    """Particles of all fields as a table partitioned by directory."""
-    particles.write.mode("overwrite").partitionBy("sample_dir").parquet(path)
+    """Particles of all fields as a table partitioned by directory; other directories' rows stay."""
+    write_directories(particles, path)
+
+
+def write_directories(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_dir").parquet(path)
 
 
 def write_files(files: DataFrame, folder: str) -> int:
@@ -162,17 +174,95 @@ def write_files(files: DataFrame, folder: str) -> int:
 
     import pyarrow as pa
 
+    folder = store.qualified(files.sparkSession, folder)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        n = 0
+        system, root = fs.FileSystem.from_uri(folder)
+        n, made = 0, set()
         for batch in batches:
             for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with store.open_output_stream(f"{root}/{name}") as out:
+                place = f"{root}/{name}"
+                if (parent := place.rpartition("/")[0]) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with system.open_output_stream(place) as out:
                     out.write(raw)
                 n += 1
         yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
 
     return files.select("name", "content").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _csv_line(columns: list[str]):
+    """A CSV line of text columns: fields with quotes, commas or line breaks are quoted, quotes in them doubled."""
+    one = lambda c: F.when(F.col(c).rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    return F.concat_ws(",", *map(one, columns))
+
+
+def write_each(rows: DataFrame, order: list, columns: list[str], root: str, file: str) -> int:
+    """One CSV file for each ``sample_dir`` of ``rows``, ``root``/<sample_dir>/data/<file>, all in one job; returns their number.
+
+    A directory's rows stream through one task, as they make one file. Files are written beside their places and
+    moved there when all are, so ``rows`` may come from the files that they replace.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    uri, header = store.qualified(spark, root), ",".join(columns) + "\n"
+    lines = rows.select("sample_dir", _csv_line(columns).alias("line"), *[o.alias(f"_o{k}") for k, o in enumerate(order)]).repartition("sample_dir").sortWithinPartitions("sample_dir", *[f"_o{k}" for k in range(len(order))]).select("sample_dir", "line")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(uri)
+        now, out, made = None, None, []
+        for batch in batches:
+            for key, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if out:
+                        out.close()
+                    folder = f"{base}/{key}/data"
+                    system.create_dir(folder, recursive=True)
+                    made.append((f"{folder}/{file}.{TaskContext.get().taskAttemptId()}", f"{folder}/{file}"))
+                    now, out = key, system.open_output_stream(made[-1][0])
+                    out.write(header.encode())
+                out.write(f"{line}\n".encode())
+        if out:
+            out.close()
+        yield pa.record_batch([pa.array([m[k] for m in made], pa.string()) for k in (0, 1)], ["written", "place"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(uri)
+        n = 0
+        for batch in batches:
+            for written, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # A repeated task finds what it moved before in its place.
+                if system.get_file_info(written).type != fs.FileType.NotFound:
+                    if system.get_file_info(place).type == fs.FileType.Directory:
+                        system.delete_dir(place)
+                    system.move(written, place)
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    made = lines.mapInArrow(write, "written string, place string").collect()  # one row per directory
+    return spark.createDataFrame(made, "written string, place string").mapInArrow(move, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write_all_percentages(rows: DataFrame, root: str) -> int:
+    """The result table of each directory."""
+    order = [rollups.number("green_square"), rollups.number("red_square"), F.col("ord")]
+    text = rows.select("sample_dir", "red_square", "green_square", *[six_places(c).alias(c) for c in NUMBERS], scores_json("individual_scores").alias("individual_scores"), "particle_details", "ord")
+    return write_each(text, order, [c.split(" ")[0] for c in schemas.PERCENTAGE_CSV.split(", ")], root, "percentage_data.csv")
+
+
+def write_all_distances(rows: DataFrame, root: str) -> int:
+    order = [rollups.number("green_square"), rollups.number("red_square"), F.col("ord")]
+    text = rows.select("sample_dir", "red_square", "green_square", six_places("horizontal_distance").alias("horizontal_distance"), "ord")
+    return write_each(text, order, ["red_square", "green_square", "horizontal_distance"], root, "horizontal_distance.csv")

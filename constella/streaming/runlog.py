@@ -6,17 +6,20 @@ aggregate, so it runs over a directory of logs of any size, and unchanged over a
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import time
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from datetime import datetime
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from constella.sources import store
+
 EVENT = (
     "run_id string, timestamp timestamp_ntz, event_type string, sample_dir string, attempt int, duration_seconds double, error_type string, error_message string, "
     "parallel_mode string, skip_reason string, resume_source_run_id string, root_dir string, resume_from_run_id string, _corrupt_record string"
@@ -39,8 +42,8 @@ def directory_state(event_type):
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of one run's log, or of all logs below a folder, with ``ord`` in line order; blank and broken lines are left out."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "events.jsonl").option("mode", "PERMISSIVE").schema(EVENT).json(path)
+    """Events of one run's log, or of all logs below a folder, with ``ord`` in the order of files and lines; blank and broken lines are left out."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "events*.jsonl").option("mode", "PERMISSIVE").schema(EVENT).json(path)
     at = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
     return lines.withColumn("ord", at).filter("_corrupt_record is null and event_type is not null").drop("_corrupt_record")
 
@@ -129,37 +132,48 @@ def windowed_counts(events: DataFrame, time_column: str, width: str, late: str |
 
 
 class RunLog:
-    """The driver's side of one run: creates its folder, appends events, keeps ``summary.json``."""
-
-    def __init__(self, base: str | Path, root: str, parallel_mode: str = "spark", resume_from: str | None = None, attempts: dict[str, int] | None = None, now=datetime.now):
-        self.base, self.root, self.now = Path(base), root, now
-        made, n = now().strftime("%Y-%m-%d--%H-%M-%S"), 1
-        self.run_id = made
-        while (self.base / self.run_id).exists():
-            self.run_id, n = f"{made}-{n}", n + 1
-        self.folder = self.base / self.run_id
-        self.folder.mkdir(parents=True)
-        self.states: dict[str, str] = {}
-        self.attempts: dict[str, int] = dict(attempts or {})
-        self.status, self.began = "running", time.monotonic()
-        self.emit("run_started", root_dir=root, parallel_mode=parallel_mode, resume_from_run_id=resume_from)
+    """The driver's side of one run: a folder of its own in any store, with events in numbered files and a summary of them.
+
+    A batch of events is one file, and the summary follows each batch, so that a run of any number of directories
+    writes as many files as it has phases.
+    """
 
-    def start_attempt(self, sample_dir: str) -> int:
-        self.attempts[sample_dir] = self.attempts.get(sample_dir, 0) + 1
-        return self.attempts[sample_dir]
+    def __init__(self, spark: SparkSession, base: str, root: str, parallel_mode: str = "spark", resume_from: str | None = None, now=datetime.now):
+        self.spark, self.root, self.now, self.files = spark, root, now, itertools.count(1)
+        self.status, self.began = "running", time.monotonic()
+        self.states: dict[str, str] = {}
+        self.attempts: dict[str, int] = {}
+        stamp = now().strftime("%Y-%m-%d--%H-%M-%S")
+        first = {"event_type": "run_started", "root_dir": root, "parallel_mode": parallel_mode, "resume_from_run_id": resume_from}
+        # Who creates a folder's first file has the run id; the store lets only one do so.
+        for self.run_id in itertools.chain([stamp], (f"{stamp}-{n}" for n in itertools.count(1))):
+            self.folder = f"{str(base).rstrip('/')}/{self.run_id}"
+            if store.create(spark, f"{self.folder}/events-000000.jsonl", self._lines([first])):
+                break
+        self._summarise()
+
+    def _lines(self, events: Iterable[dict]) -> str:
+        at = {"run_id": self.run_id, "timestamp": self.now().isoformat(timespec="seconds")}
+        return "".join(json.dumps({k: v for k, v in (at | e).items() if v is not None}, sort_keys=True) + "\n" for e in events)
+
+    def emit_all(self, events: list[dict]) -> None:
+        """Adds events, each with its ``event_type``, and for directories ``sample_dir`` and ``attempt``."""
+        if not events:
+            return
+        store.create(self.spark, f"{self.folder}/events-{next(self.files):06d}.jsonl", self._lines(events))
+        for e in events:
+            self.status = RUN_STATES.get(e["event_type"], self.status)
+            if e["event_type"] in DIRECTORY_STATES:
+                self.states[e["sample_dir"]] = DIRECTORY_STATES[e["event_type"]]
+                self.attempts[e["sample_dir"]] = max(e.get("attempt") or 0, self.attempts.get(e["sample_dir"], 0))
+        self._summarise()
 
     def emit(self, event_type: str, sample_dir: str | None = None, attempt: int | None = None, **more) -> None:
-        event = {"run_id": self.run_id, "timestamp": self.now().isoformat(timespec="seconds"), "event_type": event_type, "sample_dir": sample_dir, "attempt": attempt, **more}
-        with (self.folder / "events.jsonl").open("a", encoding="utf-8") as out:
-            out.write(json.dumps({k: v for k, v in event.items() if v is not None}, sort_keys=True) + "\n")
-        if sample_dir and event_type in DIRECTORY_STATES:
-            self.states[sample_dir] = DIRECTORY_STATES[event_type]
-            self.attempts[sample_dir] = max(attempt or 0, self.attempts.get(sample_dir, 0))
-        self.status = RUN_STATES.get(event_type, self.status)
-        counts = {s: list(self.states.values()).count(s) for s in sorted(set(self.states.values()))}
-        text = json.dumps({"run_id": self.run_id, "root_dir": self.root, "run_status": self.status, "directory_states": self.states, "attempts": self.attempts, "counts": counts}, indent=2, sort_keys=True)
-        (self.folder / "summary.tmp").write_text(text, encoding="utf-8")
-        (self.folder / "summary.tmp").replace(self.folder / "summary.json")
+        self.emit_all([{"event_type": event_type, "sample_dir": sample_dir, "attempt": attempt, **more}])
+
+    def _summarise(self) -> None:
+        whole = {"run_id": self.run_id, "root_dir": self.root, "run_status": self.status, "directory_states": self.states, "attempts": self.attempts, "counts": Counter(self.states.values())}
+        store.replace(self.spark, f"{self.folder}/summary.json", json.dumps(whole, indent=2, sort_keys=True))
 
     def finish(self, aborted: bool = False) -> None:
         self.emit("run_aborted" if aborted else "run_completed", duration_seconds=round(time.monotonic() - self.began, 3))
@@ -171,6 +185,6 @@ def run_order(run_id: str) -> tuple[str, int]:
     return (m[1], int(m[2] or 0)) if m else (run_id, 0)
 
 
-def latest_run_id(base: str | Path) -> str | None:
-    found = [p.name for p in Path(base).glob("*") if (p / "events.jsonl").exists()]
+def latest_run_id(spark: SparkSession, base: str) -> str | None:
+    found = [p.split("/")[-2] for p in store.glob(spark, f"{str(base).rstrip('/')}/*/events*.jsonl")]
     return max(found, key=run_order, default=None)

@@ -7,7 +7,7 @@ from constella import __main__ as cli
 from constella.functions import codecs
 from constella.operators import rollups
 from constella.plans import approval, batch
-from constella.sources import images as sources, results
+from constella.sources import images as sources, results, store
 
 DOTS = [(30, 30, 4), (44, 30, 3), (30, 52, 3), (60, 64, 3)]
 
@@ -55,7 +55,7 @@ def test_images_become_ranked_tables(spark, root, tmp_path):
     best = next(r for r in rows if r.ord == 1 and r.green_square == "1")
     assert best.red_square == "0" and json.loads(best.particle_details)["id"] == best.anchor_id
     assert best.percentage > 90
-    text = results.read_csv(spark, f"file://{tmp_path}/c/data/percentage_data.csv").collect()
+    text = results.read_csv(spark, f"file://{tmp_path}/b/c/data/percentage_data.csv").collect()
     assert [r.green_square for r in text] == sorted(r.green_square for r in text) and json.loads(text[0].particle_details)["corner_coordinates"]
     assert all(len(r.percentage.partition(".")[2]) == 6 for r in text)
     paths = results.write_master(spark, f"file://{tmp_path}")
@@ -65,6 +65,13 @@ def test_images_become_ranked_tables(spark, root, tmp_path):
     images = sources.read_images(spark, f"file://{root}")
     assert {r.name.rpartition(".")[0].rpartition(".")[2] for r in sources.unprocessed(images, done).collect()} == {"3mm", "4mm"}
     assert sources.processed(images, done).count() == 6
+    sheets = {r.name: codecs.read_png(bytes(r.content)) for r in batch.review_sheets(ranked, batch.particles(done)).filter("sample_dir like '%/c'").collect()}
+    assert "GB.s.m.10x.1mm_redsquare0_sheet0.png" in sheets and all(x.shape[2] == 3 for x in sheets.values())
+    crops = batch.particle_pictures(batch.particles(done)).filter("sample_dir like '%/c'").collect()
+    assert len({r.name for r in crops}) == len(crops) == batch.particles(done).filter("sample_dir like '%/c'").count()
+    assert len({codecs.read_png(bytes(r.content)).shape for r in crops}) == 1
+    best_row = ranked.filter("ord = 1 and sample_dir like '%/c' and green_square = '1'").first()
+    assert len(best_row.drawing) == 3 and [d.row is not None for d in best_row.drawing].count(True) == len(best_row.matched_ids)
     n = results.write_files(batch.annotated(done.filter("role = 'green'"), ranked), f"file://{tmp_path}/pictures")
     made = sorted((tmp_path / "pictures").glob("*.png"))
     assert n == 4 and (codecs.read_png(made[0].read_bytes()) == (255, 0, 0)).all(-1).any()
@@ -99,6 +106,34 @@ def test_command_line_looks_at_every_image_again(spark, tmp_path):
     assert cli.main(args) == 0 and sorted(out.glob("**/processed/*")) == before and before
 
 
+def test_nested_directories_keep_their_own_images(spark, tmp_path):
+    top, out = tmp_path / "in", tmp_path / "out"
+    for k, name in enumerate(("a", "a/b [1]", "a/b [1]/c")):
+        d = top / name
+        d.mkdir(parents=True)
+        (d / "GB.s.m.10x.1mm.1.locations fixed.tif").write_bytes(codecs.tiff(picture((255, 0, 0), DOTS)))
+        (d / f"GB.s.m.10x.{k + 1}mm.tif").write_bytes(codecs.tiff(picture((0, 255, 0), DOTS)))
+    (top / "bad").mkdir()
+    (top / "bad" / "GB.x.1mm.tif").write_bytes(b"broken")
+    assert cli.main([f"file://{top}", "--out", str(out), "--annotate"]) == 1
+    squares = {str(p.relative_to(out).parent.parent): {r.green_square for r in results.read_csv(spark, store.literal(f"file://{p}")).collect()} for p in out.glob("**/data/percentage_data.csv")}
+    assert squares == {"a": {"1"}, "a/b [1]": {"2"}, "a/b [1]/c": {"3"}}
+    assert sorted(p.name for p in (out / "a/b [1]/pictures").glob("*.png") if "num" not in p.name) == ["GB.s.m.10x.2mm_particles.png", "GB.s.m.10x.2mm_redsquare0_sheet0.png"]
+    run = next((out / "runs").iterdir())
+    assert json.loads((run / "summary.json").read_text())["directory_states"] == {"a": "completed", "a/b [1]": "completed", "a/b [1]/c": "completed", "bad": "failed"}
+    # A failed directory is tried again only if that is wanted, and others' tables stay.
+    (top / "bad" / "GB.x.1mm.tif").write_bytes(codecs.tiff(picture((0, 255, 0), DOTS)))
+    (top / "bad" / "GB.x.1mm.1.locations fixed.tif").write_bytes(codecs.tiff(picture((255, 0, 0), DOTS)))
+    assert cli.main([f"file://{top}", "--out", str(out), "--resume-latest"]) == 0 and not (out / "bad/data").exists()
+    assert cli.main([f"file://{top}", "--out", str(out), "--resume", run.name, "--retry-failed"]) == 0 and (out / "bad/data/percentage_data.csv").exists()
+    assert len(list(out.glob("**/data/percentage_data.csv"))) == 4 and len(list((out / "matches").glob("sample_dir=*"))) == 4
+    # Decisions by the command line.
+    (tmp_path / "d.csv").write_text("sample_dir,red_square,green_square,index\na/b [1],0,2,1\n")
+    assert cli.main([f"file://{top}", "--out", str(out), "--decisions", f"file://{tmp_path}/d.csv"]) == 0
+    rows = results.read_csv(spark, store.literal(f"file://{out}/a/b [1]/data/percentage_data.csv")).collect()
+    assert [r.percentage for r in rows].count("999.000000") == 1
+
+
 def test_csv_dialect_and_rewrite(spark, tmp_path):
     rows = spark.createDataFrame([("d", "1", "10", 5.0, 1.0, 2.0, 1.0, 1.0, [0.12345678, 2.0], '{"a": "x, \\"y\\""}', 1), ("d", "2", "9", 7.25, 1.0, 2.0, 1.0, 1.0, [], "line\nbreak", 2)], "sample_dir string, red_square string, green_square string, percentage double, distance double, base_score double, completeness_ratio double, geometry_consistency double, individual_scores array<double>, particle_details string, ord long")
     path = f"file://{tmp_path}/percentage_data.csv"

@@ -5,20 +5,21 @@ from constella.streaming import runlog
 
 
 def test_log_folds_and_resumes(spark, tmp_path):
-    log = runlog.RunLog(tmp_path, "/r", now=lambda: datetime(2026, 1, 2, 3, 4, 5))
-    again = runlog.RunLog(tmp_path, "/r", now=lambda: datetime(2026, 1, 2, 3, 4, 5))
-    assert (log.run_id, again.run_id) == ("2026-01-02--03-04-05", "2026-01-02--03-04-05-1")
+    at = lambda: datetime(2026, 1, 2, 3, 4, 5)
+    log, again, third = (runlog.RunLog(spark, f"file://{tmp_path}", "/r", now=at) for _ in range(3))
+    assert [x.run_id for x in (log, again, third)] == ["2026-01-02--03-04-05", "2026-01-02--03-04-05-1", "2026-01-02--03-04-05-2"]
     for d, e in (("a", "completed"), ("b", "failed"), ("c", "started"), ("s", "skipped")):
-        log.emit("directory_discovered", d, 0)
-        log.emit(f"directory_{e}", d, log.start_attempt(d))
-    with (log.folder / "events.jsonl").open("a") as f:
-        f.write("\n{broken\n")
+        log.emit_all([{"event_type": "directory_discovered", "sample_dir": d, "attempt": 0}, {"event_type": f"directory_{e}", "sample_dir": d, "attempt": 1}])
+    folder = tmp_path / log.run_id
+    (folder / "events-000004.jsonl").unlink()
+    (folder / ".events-000004.jsonl.crc").unlink()
+    (folder / "events-000004.jsonl").write_text('\n{broken\n{"event_type": "directory_skipped", "sample_dir": "s", "attempt": 1, "run_id": "%s"}\n' % log.run_id)
     log.finish()
-    events = runlog.read_events(spark, f"file://{log.folder}/events.jsonl")
+    events = runlog.read_events(spark, log.folder)
     states = runlog.fold(events)
     assert {r.sample_dir: (r.state, r.attempts) for r in states.collect()} == {"a": ("completed", 1), "b": ("failed", 1), "c": ("running", 1), "s": ("skipped", 1)}
     assert runlog.run_status(events).first().run_status == "completed"
-    assert json.loads((log.folder / "summary.json").read_text())["counts"] == {"completed": 1, "failed": 1, "running": 1, "skipped": 1}
+    assert json.loads((folder / "summary.json").read_text())["counts"] == {"completed": 1, "failed": 1, "running": 1, "skipped": 1}
     doc = runlog.summary(events).first()
     assert doc.directory_states["b"] == "failed" and doc.counts["completed"] == 1 and doc.attempts["c"] == 1
     dirs = spark.createDataFrame([(d,) for d in "abcsn"], "sample_dir string")
@@ -26,7 +27,7 @@ def test_log_folds_and_resumes(spark, tmp_path):
     assert plan == {"a": ("skip", 1), "b": ("skip", 1), "c": ("process", 2), "s": ("skip", 1), "n": ("process", 1)}
     retried = {r.sample_dir: r.action for r in runlog.resume_plan(dirs, states, retry_failed=True).collect()}
     assert retried["b"] == "process"
-    assert runlog.latest_run_id(tmp_path) == again.run_id
+    assert runlog.latest_run_id(spark, f"file://{tmp_path}") == third.run_id
 
 
 def test_run_ids_sort_by_their_number():
