@@ -30,8 +30,40 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders made by this process and not deleted yet, and those of the scopes that are open.
+_made: list[str] = []
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/constella/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/constella/{name}-{uuid.uuid4().hex}"
+    for known in (_made, *_scopes):
+        known.append(path)
+    return path
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Within it, the list that it gives gets every folder that is made."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.remove(own)
+
+
+def discard(spark: SparkSession, paths: list[str], *keep: DataFrame) -> None:
+    """Delete folders, but for those of the tables to keep."""
+    kept = {f.rsplit("/", 1)[0].replace("file:///", "file:/") for t in keep for f in t.inputFiles()}
+    for path in list(paths):
+        if path.replace("file:///", "file:/") not in kept:
+            delete(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this process has made and not deleted: for when the results that read them have been used."""
+    discard(spark, _made)
 
 
 @contextmanager
@@ -61,6 +93,8 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def make_dir(spark: SparkSession, path: str) -> None:
@@ -72,9 +106,7 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialise` made and that no later plan reads."""
     for t in tables:
         for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            delete(t.sparkSession, folder)
-
-
+            delete(t.sparkSession, re.sub("^file:/+", "file:///", folder))
 
 
 def free_name(df: DataFrame, wish: str) -> str:

@@ -69,3 +69,41 @@ def test_sequences_can_be_built_from_the_last_stage(spark):
     for k, t in texts.items():
         ids = b"".join(r.ids for r in rows if r.doc_id == k)
         assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_run_from_end_to_end(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    extra = spark.createDataFrame([(9001, None, None, None, None), (9001, "", "en", "s", 0), (None, " ".join(f"w{k}" for k in range(40)), "en", "s", 5)], docs.schema)
+    docs.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    _store.release(spark)
+    folder = Path(_store.shared_dir(spark).removeprefix("file://")) / "constella"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = C.run(spark, str(tmp_path)).collect()
+    assert len(set(folder.iterdir()) - before) == 1  # nothing but the result is left
+    by_hand = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in C.STAGES:
+        by_hand = _store.materialise(stage(spark, by_hand, str(tmp_path)), name)
+    key = lambda r: (r.doc_id or -1, r.piece, r.ids_crc32)
+    assert sorted(map(key, got)) == sorted(map(key, by_hand.collect())) and len(got) > 50
+    # Sequences are gapless and no longer than they may be.
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    _store.release(spark)
+    assert not set(folder.iterdir()) - before
+
+
+def test_columns_that_clash_with_the_stages_own(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, node string, _e string, spans string, _t string"
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, "en", "s", 5, *"abcdef"), (1, text, "en", "s", 5, *"abcdef")], kind)
+    for name, stage in C.STAGES[:-1]:
+        docs = _store.materialise(stage(spark, docs, SF), name)
+    assert [tuple(r) for r in docs.collect()] == [(1, text, "en", "s", 5, *"abcdef")]
