@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, near duplicates, benchmark passages, personal data, packing."""
+"""The corpus pipeline: quality rules, near duplicates, benchmark passages, personal data, packing.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and columns of any further
+name; what it does with them stands with it. Ties are decided the same way in every run, but for the numbers of sequences.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +12,27 @@ from constella.llm import _store, decontaminate, ngram_join, packing, pii, quali
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts among them; rows of equal text, language and source share their fate."""
     return quality.keep_good(docs)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays, that of the smallest identifier; one row of it. Rows without an identifier, and empty texts, stay."""
     return ngram_join.keep_one(docs)
 
 
 def unspoilt(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; a document of which no word is left goes."""
+    """Benchmark passages are cut out; a document of which no word is left goes. Texts without passages stay as they are, null included."""
     return decontaminate.remove_passages(docs, _store.table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by surrogates."""
+    """Personal data are replaced by surrogates; all rows stay, equal data get equal surrogates, and texts without any stay as they are."""
     return pii.pseudonymise(docs, pii.setting_key(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are tokenised and packed into sequences: one row per piece, with its token ids."""
+    """Documents are tokenised and packed into sequences: one row per piece, with its token ids. A null or empty text is one piece of its end mark."""
     return packing.pack_documents(docs)
 
 
@@ -39,8 +43,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; each stage's rows are written to the shared folder before the next."""
+    """Applies the stages to the documents; each stage's rows are written to the shared folder, and all else that it has written there is deleted."""
     docs = _store.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = _store.materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for number, (name, stage) in enumerate(STAGES):
+        with _store.scope() as made:
+            done = _store.materialise(stage(spark, docs, sf_dir), name)
+        _store.discard(spark, made, done)
+        if number:
+            _store.drop(docs)
+        docs = done
+    return docs
