@@ -90,4 +90,5 @@ def duration_seconds(began, ended) -> Column:
 def progress_percent(done, step, steps, images) -> Column:
     """Whole percent of a directory's images, counting the step of the current one; 0 to 100."""
     part = F.coalesce(F.try_divide(_c(step).cast("double"), _c(steps)), F.lit(0.0))
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.try_divide((_c(done) + part) * 100, _c(images))).cast("int"))), F.lit(0))
+    whole = F.coalesce(F.floor(F.try_divide((_c(done) + part) * 100, _c(images))).cast("int"), F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.lit(100), whole))
