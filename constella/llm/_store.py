@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Bytes of a row group of tables between steps.
+ROW_GROUP = 16 << 20
 #: Folders made by this process and not deleted yet, and those of the scopes that are open.
 _made: list[str] = []
 _scopes: list[list[str]] = []
@@ -84,7 +86,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and return the table read back."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     with tidy(spark):
-        df.write.parquet(path)
+        # A writer holds a row group in memory; these are read once or twice, and soon deleted.
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,19 @@ CHUNK_BYTES = 2 << 20
 _U = np.uint64
 
 
+def give_back(task: Callable) -> Callable:
+    """A task on batches after which its worker, which waits for further ones, gives free memory back to the system."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -302,7 +302,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(shard, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    return docs.select(id_col, text_col).mapInArrow(_text.give_back(shard), f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
 def _spans(shard: Shard, doc: int) -> list[dict]:
@@ -345,7 +345,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(stay))
             yield batch
 
-    return docs.mapInArrow(shard, docs.schema)
+    return docs.mapInArrow(_text.give_back(shard), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

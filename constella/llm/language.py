@@ -109,7 +109,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
     teachers = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, F.col(lang_col).cast("string"))
     if teachers.select(lang_col).distinct().limit(max_languages + 1).count() > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    parts = teachers.mapInArrow(count, kind)
+    parts = teachers.mapInArrow(_text.give_back(count), kind)
     rows = parts.repartition(F.col("lang"), F.col("block")).mapInArrow(add, kind).collect()  # one table per language: bounded by max_languages
     names = sorted({r.lang for r in rows})
     table = np.zeros((CELLS, len(names)))
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str
             yield pa.record_batch([batch.column(0), pa.array([names[k] if k >= 0 else "und" for k in langs], pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32()), pa.array(mixtures, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], ["doc_id", "lang_pred", "score", "n_langs", "mixture"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(texts, f"doc_id {kind}, lang_pred string, score double, n_langs int, mixture array<struct<lang: string, share: double>>")
+    return docs.select(id_col, text_col).mapInArrow(_text.give_back(texts), f"doc_id {kind}, lang_pred string, score double, n_langs int, mixture array<struct<lang: string, share: double>>")
 
 
 def _no_ascii_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

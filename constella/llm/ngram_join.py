@@ -126,7 +126,7 @@ def sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
 
     kind = "block int, counts binary"
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in docs.select(text_col).mapInArrow(count, kind).repartition(F.col("block")).mapInArrow(add, kind).collect():
+    for r in docs.select(text_col).mapInArrow(_text.give_back(count), kind).repartition(F.col("block")).mapInArrow(add, kind).collect():
         out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, "<u4")
     return out
 
@@ -173,7 +173,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, *, id_col: str, text_col: str,
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(rank, f"doc_id {kind}, node long, check long, n long, grams array<long>, n_cold int, signature binary")
+    return docs.select(id_col, text_col).mapInArrow(_text.give_back(rank), f"doc_id {kind}, node long, check long, n long, grams array<long>, n_cold int, signature binary")
 
 
 def _buckets(ranked: DataFrame, total: int) -> DataFrame:
@@ -268,7 +268,7 @@ def _survivors(pairs: DataFrame, signatures: DataFrame, total: int, percent: int
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     marked = signatures.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", F.struct("n", "signature").alias("s"))
-    return _skew.salted_join(pairs, marked, ["a", "b"], "node", "s", total).select("a", "b", "s_a", "s_b").mapInArrow(judge, "a long, b long")
+    return _skew.salted_join(pairs, marked, ["a", "b"], "node", "s", total).select("a", "b", "s_a", "s_b").mapInArrow(_text.give_back(judge), "a long, b long")
 
 
 def _node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, width: int, clashing: frozenset[int]) -> DataFrame:
@@ -285,7 +285,7 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, id_col: s
                 blobs = [h[rows[k] : rows[k + 1]].tobytes() for k in range(len(rows) - 1)]
                 yield pa.record_batch([pa.array(_nodes(h, rows, clashing)[0]), pa.array(blobs, pa.binary())], ["node", "grams"])
 
-    return texts.mapInArrow(sets, "node long, grams binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return texts.mapInArrow(_text.give_back(sets), "node long, grams binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def overlap_reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -304,7 +304,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> Da
             linked = [overlap_reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return _skew.salted_join(pairs, sets, ["a", "b"], "node", "grams", total).select("a", "b", "grams_a", "grams_b").mapInArrow(judge, "a long, b long, linked boolean")
+    return _skew.salted_join(pairs, sets, ["a", "b"], "node", "grams", total).select("a", "b", "grams_a", "grams_b").mapInArrow(_text.give_back(judge), "a long, b long, linked boolean")
 
 
 def _ranked(docs: DataFrame, counts: np.ndarray, **more) -> tuple[DataFrame, frozenset[int]]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from constella.llm import _store
+from constella.llm import _store, _text
 
 LENGTH = 1024
 #: Documents whose short pieces are packed together.
@@ -153,7 +153,7 @@ def tokenise(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_co
                 yield pa.record_batch(columns, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select(id_col, text_col).mapInArrow(_text.give_back(pieces), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(pieces: DataFrame, n_docs: int, *, length: int = LENGTH, shard: int = SHARD) -> DataFrame:

@@ -59,7 +59,7 @@ _BEGIN = {"email": "", "ip": "(?=[0-9])", "iban": "(?=[A-Z]{2}[0-9])", "ssn": "(
 ANY = "|".join(f"(?:{_BEGIN[k]}{p})" for k, p in PATTERNS.items())
 #: What every entity has, and what every name has: most texts hold none of it.
 NAME_HINT = rf"{_BEGIN['name']}{_EDGE}{_TITLES}(?:\p{{Lu}}|{PARTICLE})"
-HINT = rf"[0-9@]|{NAME_HINT}"
+HINT = "[0-9@]"
 
 # Endings of given names by script and gender, and syllables of names by script.
 ENDINGS = {
@@ -118,8 +118,8 @@ def _parts(name: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(name, rf"^{_TITLES}+", ""), F.lit(rf"\p{{Lu}}\.|[^\x20]+"), F.lit(0))
 
 
-def name_words(text: Column) -> Column:
-    """Array of (kind, norm): the distinct name words behind forms of address in a text, each of one kind."""
+def name_words(text: Column, named: Column) -> Column:
+    """Array of (kind, norm): the distinct name words behind forms of address in a text, each of one kind; none unless it is ``named``."""
 
     def of(name: Column) -> Column:
         titles = F.regexp_extract(name, rf"^{_TITLES}+", 0)
@@ -130,7 +130,7 @@ def name_words(text: Column) -> Column:
     # A word that is seen in several roles takes the first kind: a family name, else a given name of known gender.
     found = F.array_sort(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_BEGIN["name"] + PATTERNS["name"]), F.lit(0)), of))))
     one = _let(found, lambda all_: F.filter(all_, lambda x: x["kind"] == F.array_min(F.transform(F.filter(all_, lambda y: y["norm"] == x["norm"]), lambda y: y["kind"]))))
-    return F.when(text.rlike(NAME_HINT), one).otherwise(F.array().cast(_NAME_KIND))
+    return F.when(named, one).otherwise(F.array().cast(_NAME_KIND))
 
 
 def pattern_of(words: Column) -> Column:
@@ -315,8 +315,9 @@ def _norms(found: Column, words: Column) -> Column:
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, norm): the distinct entities of the corpus."""
-    hinted = docs.select(F.col(text_col).alias("t")).filter(F.col("t").rlike(HINT))
-    return hinted.select(F.explode(_norms(_found(F.col("t"), F.lit(ANY)), name_words(F.col("t")))).alias("e")).select("e.kind", "e.norm").distinct()
+    t = F.col("t")
+    hinted = docs.select(F.col(text_col).alias("t")).withColumn("n", t.rlike(NAME_HINT)).filter(F.col("n") | t.rlike(HINT))
+    return hinted.select(F.explode(_norms(_found(t, F.lit(ANY)), name_words(t, F.col("n")))).alias("e")).select("e.kind", "e.norm").distinct()
 
 
 def collisions(found: DataFrame, key: str) -> DataFrame:
@@ -351,22 +352,24 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", chars_col
     known = _store.materialise(entities(docs, text_col), "entities")
     more = collisions(known, key)
     _store.drop(known)
-    e, m, f, s, w, p = (_store.free_name(docs, x) for x in ("_e", "_map", "_fingerprint", "_surrogates", "_words", "_pattern"))
+    e, h, m, f, n, s, w, p = (_store.free_name(docs, x) for x in ("_e", "_hinted", "_map", "_fingerprint", "_named", "_surrogates", "_words", "_pattern"))
     text = F.col(text_col)
-    hinted = F.coalesce(text.rlike(HINT), F.lit(False))
-    counted = [F.lit(0).alias(count_col)] if count_col else []
-    plain = docs.filter(~hinted).select("*", *counted)
-    full = docs.filter(hinted).withColumn(w, name_words(text)).withColumn(p, pattern_of(F.col(w))).withColumn(e, _found(text, F.col(p)))
+    marked = docs.withColumn(n, F.coalesce(text.rlike(NAME_HINT), F.lit(False))).withColumn(h, F.col(n) | F.coalesce(text.rlike(HINT), F.lit(False)))
+
+    def searched(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn(w, name_words(text, F.col(n))).withColumn(p, pattern_of(F.col(w)))
+        return rows.withColumn(e, F.when(F.col(h), _found(text, F.col(p))).otherwise(F.array().cast("array<struct<kind:string,value:string,norm:string>>")))
+
     if more.take(1):
         # Few entities try again: the documents that hold them get a map of their attempts. Equal texts share it.
-        full = full.withColumn(f, F.sha2(text, 256))
+        plain, full = marked.filter(~F.col(h)), searched(marked.filter(h)).withColumn(f, F.sha2(text, 256))
         held = full.filter(F.size(e) > 0).select(f, F.explode(_norms(F.col(e), F.col(w))).alias("x")).select(f, "x.kind", "x.norm").distinct().join(more, ["kind", "norm"])
         maps = held.groupBy(F.col(f).alias(m + "_f")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias(m))
         full = full.join(maps, F.col(f) == F.col(m + "_f"), "left").drop(f, m + "_f")
         attempt = lambda kind, norm: F.coalesce(F.col(m)[F.concat_ws("|", kind, norm)], F.lit(0))
     else:
         _store.drop(more)
-        full = full.withColumn(m, F.lit(None).cast("string"))
+        plain, full = None, searched(marked)
         attempt = lambda kind, norm: F.lit(0)
     made = lambda kind, norm: canonical(F.lit(key), kind, norm, attempt(kind, norm))
 
@@ -387,7 +390,8 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", chars_col
     if chars_col and chars_col in docs.columns:
         full = full.withColumn(chars_col, F.when((F.size(e) > 0) & F.col(chars_col).isNotNull(), F.char_length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
     counted = [F.size(e).alias(count_col)] if count_col else []
-    return plain.unionByName(full.select(*docs.columns, *counted))
+    full = full.select(*docs.columns, *counted)
+    return full if plain is None else plain.select(*docs.columns, *[F.lit(0).alias(c) for c in [count_col] if c]).unionByName(full)
 
 
 def setting_key(spark: SparkSession) -> str:

@@ -90,7 +90,7 @@ def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
         "n_repeat_words": F.coalesce(F.expr(covered), F.lit(0).cast("long")),
         "_lines": F.size(f"{p}l").cast("long"),
         "_upper": F.when(F.col(f"{p}j") != F.lower(f"{p}j"), F.regexp_count(F.col(f"{p}j"), F.lit(r"\p{Lu}")).cast("long")).otherwise(F.lit(0).cast("long")),
-        "_marks": (F.char_length(f"{p}j") - F.char_length(F.translate(f"{p}j", MARKS, ""))).cast("long"),
+        "_marks": F.regexp_count(F.col(f"{p}j"), F.lit(r"[!-/:-@\[-`{-~]")).cast("long"),
     }
     for name, value in measures.items():
         out = out.withColumn(f"{prefix}{name}", value)

@@ -367,8 +367,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _store.new_path(spark, "warc")
     write_captures(_store.table(spark, sf_dir, "pages"), path)
     records = read_records(spark, path, payloads=False).select("archive", "offset", "position", "type", "record_id", "concurrent_to", "refers_to", "digest", "fields", "payload_bytes", "computed_digest")
-    # The narrow records stand for the archives from here on, which are then read once only.
+    # The narrow records stand for the archives from here on, which are read once only and have served.
     records = _store.materialise(records, "warc-records")
+    _store.delete(spark, path)
     return resolve_revisits(assemble(records)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
