@@ -186,6 +186,13 @@ def review_sheets(ranked: DataFrame, found: DataFrame, page: int = K.PAGE_SIZE)
     return sheets.mapInArrow(draw, "sample_dir string, name string, content binary")
 
 
+def template_documents(found: DataFrame) -> DataFrame:
+    """(sample_dir, red_image, relations): each template as a JSON document."""
+    red = found.filter("role = 'red'")
+    made = template.relations(red, neighbours.search_radius(red))
+    return results.relations_json(made).join(made.select("sample_dir", "red_image").distinct(), "red_image")
+
+
 def in_directories(pictures: DataFrame, root: str, folder: str = "pictures") -> DataFrame:
     """Pictures named by their directory's key below ``root``."""
     return pictures.withColumn("name", F.concat_ws("/", N.directory_key("sample_dir", F.lit(root)), F.lit(folder), "name"))
@@ -226,10 +233,14 @@ def run_batch(spark: SparkSession, root: str, out: str, run: str = "0", *, openi
     results.write_particles(found, f"{out}/particles")
     results.write_directories(match_images(found), f"{out}/matches")
     ranked = spark.read.parquet(f"{out}/matches").join(listed.select("sample_dir").distinct(), "sample_dir", "left_semi")
+    results.write_directories(template_documents(found), f"{out}/templates")
     keyed = ranked.withColumn("sample_dir", N.directory_key("sample_dir", F.lit(root)))
     results.write_all_percentages(keyed, out)
     results.write_all_distances(horizontal_rows(keyed), out)
     if pictures:
-        for made in (annotated(done.filter("role = 'green'"), ranked), particle_pictures(found), review_sheets(ranked, found)):
-            results.write_files(in_directories(made, root), out)
+        crops = in_directories(particle_pictures(found), root)
+        for made in (in_directories(annotated(done.filter("role = 'green'"), ranked), root), crops, in_directories(review_sheets(ranked, found), root)):
+            results.write_files(made, out)
+        index = crops.select(N.directory_key("sample_dir", F.lit(root)).alias("sample_dir"), N.base_name("image_key").alias("image"), F.col("particle_id").cast("string").alias("particle"), F.col("name").alias("picture"))
+        results.write_each(index, [F.col("image"), F.col("particle").cast("int")], ["image", "particle", "picture"], out, "particle_pictures.csv")
     return ranked

@@ -63,3 +63,9 @@ def square_stems(images: DataFrame) -> DataFrame:
     mm = F.nullif(F.regexp_extract("name", r"\.(\d+)mm", 1), F.lit(""))
     fields = images.filter("role = 'green'").withColumn("green_square", mm).filter("green_square is not null")
     return fields.groupBy("sample_dir", "green_square").agg(F.max_by(N.stem("name"), "ord").alias("stem"))
+
+
+def latest_pictures(files: DataFrame) -> DataFrame:
+    """(sample_dir, stem, path): of the pictures (path) of each field's particles and best matches the last one by name."""
+    named = files.withColumn("sample_dir", N.parent(N.parent("path"))).withColumn("stem", F.regexp_extract(N.base_name("path"), "^(.*)_particles[.]png$", 1))
+    return named.filter("stem <> ''").groupBy("sample_dir", F.regexp_replace("stem", r"^\d{4}-\d\d-\d\d[^_]*_", "").alias("stem")).agg(F.max("path").alias("path"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
 
@@ -29,3 +30,10 @@ class Progress(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         if event.exception:
             self.errors[str(event.id)] = event.exception
+
+
+def attach(spark: SparkSession) -> Progress:
+    """A listener that follows all of the session's streaming queries from now on."""
+    made = Progress()
+    spark.streams.addListener(made)
+    return made

@@ -119,6 +119,9 @@ def test_nested_directories_keep_their_own_images(spark, tmp_path):
     squares = {str(p.relative_to(out).parent.parent): {r.green_square for r in results.read_csv(spark, store.literal(f"file://{p}")).collect()} for p in out.glob("**/data/percentage_data.csv")}
     assert squares == {"a": {"1"}, "a/b [1]": {"2"}, "a/b [1]/c": {"3"}}
     assert sorted(p.name for p in (out / "a/b [1]/pictures").glob("*.png") if "num" not in p.name) == ["GB.s.m.10x.2mm_particles.png", "GB.s.m.10x.2mm_redsquare0_sheet0.png"]
+    listed = results.read_csv(spark, store.literal(f"file://{out}/a/b [1]/data/particle_pictures.csv"), "image string, particle string, picture string").collect()
+    assert all((out / r.picture).exists() for r in listed) and len(listed) == len(list((out / "a/b [1]/pictures").glob("*num*.png"))) > 5
+    assert all(json.loads(r.relations)["relation_ids"] for r in spark.read.parquet(f"file://{out}/templates").collect())
     run = next((out / "runs").iterdir())
     assert json.loads((run / "summary.json").read_text())["directory_states"] == {"a": "completed", "a/b [1]": "completed", "a/b [1]/c": "completed", "bad": "failed"}
     # A failed directory is tried again only if that is wanted, and others' tables stay.

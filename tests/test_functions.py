@@ -1,3 +1,4 @@
+import json
 import re
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from constella import catalogue, catalogue_parts
 from constella.functions import geometry as G, naming as N
+from constella.sources import images as sources, results
 from tests.test_matching import _values
 
 
@@ -32,3 +34,15 @@ def test_parts_agree_with_their_sql(spark, name):
     columns = sorted(df.columns)
     assert columns == sorted(want.columns)
     assert _values(df.collect(), columns) == _values([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()], columns)
+
+
+def test_latest_pictures(spark):
+    files = spark.createDataFrame([(f"/r/a/pictures/{n}",) for n in ("x_particles.png", "2026-01-02_x_particles.png", "2026-01-01_x_particles.png", "y_particles.png", "x_num1.png")], "path string")
+    assert {(r.sample_dir, r.stem, r.path.rpartition("/")[2]) for r in sources.latest_pictures(files).collect()} == {("/r/a", "x", "x_particles.png"), ("/r/a", "y", "y_particles.png")}
+
+
+def test_template_documents(spark):
+    relations = spark.createDataFrame([("t", 1, 1, 4), ("t", 1, 2, 2)], "red_image string, primary_id int, relation_no int, relation_id int")
+    matches = spark.createDataFrame([("t", 4, 9), ("t", 2, 7)], "red_image string, relation_id int, candidate_id int")
+    got = json.loads(results.relations_json(relations, matches).first().relations)
+    assert got == {"primary_particle_id": 1, "relation_ids": [4, 2], "equivalent_particles": [[2, 7], [4, 9]], "offset_angle": 30.0, "search_distance_modifier": 0.75, "max_search_distance": 50.0}

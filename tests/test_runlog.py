@@ -1,7 +1,8 @@
 import json
+import time
 from datetime import datetime
 
-from constella.streaming import runlog
+from constella.streaming import progress, runlog
 
 
 def test_log_folds_and_resumes(spark, tmp_path):
@@ -42,9 +43,16 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(0, len(lines), 3):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, lines[k : k + 3])))
     batch = {tuple(r) for r in runlog.fold(spark.read.schema(kind).json(f"file://{tmp_path}/in")).collect()}
+    seen = progress.attach(spark)
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
     query = runlog.fold_stream(stream).writeStream.format("memory").queryName("folded").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination(120)
+    for _ in range(100):
+        if sum(seen.rows.values()) == len(lines):
+            break
+        time.sleep(0.1)
+    assert sum(seen.rows.values()) == len(lines) and max(seen.batches.values()) >= 3 and not seen.errors
+    spark.streams.removeListener(seen)
     assert {tuple(r) for r in spark.table("folded").collect()} == batch
 
 
