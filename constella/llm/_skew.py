@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A key is heavy beyond this share of all rows (and beyond ``LEAST`` rows), so fewer than ``PARTS`` keys ever are.
 PARTS, LEAST = 10_000, 64
+#: Rows in all up to which any key's rows are one small task, so that a plain join does.
+FEW = 100_000
 
 
 def limit(total: int) -> int:
     return max(total // PARTS, LEAST)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, other: list[str], how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, other: list[str], how: str = "inner", few: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``table``, which has one row per ``key`` and says in ``rows`` how many rows hold it.
 
     ``total`` is the number of rows or more. Heavy keys, fewer than ``PARTS`` or ``total / LEAST``, are broadcast; their rows are dealt by ``other``.
+    A total of ``few`` (``FEW``) rows is joined as it is.
     """
+    if total <= (FEW if few is None else few):
+        return rows.join(table.drop("rows"), key, how).select(*rows.columns, *[c for c in table.columns if c not in (key, "rows")])
     values = [c for c in table.columns if c not in (key, "rows")]
     of = lambda mark, own: own.select(F.col(key).alias(f"_{mark}k"), F.struct(*values).alias(f"_{mark}v"))
     heavy, light = of("h", table.filter(F.col("rows") > limit(total))), of("l", table.filter(F.col("rows") <= limit(total)))
@@ -33,6 +38,11 @@ def salted_join(pairs: DataFrame, wide: DataFrame, ends: list[str], key: str, va
 
     A key of very many pairs has its value sent to several tasks, as many as its pairs fill; ``total`` is the number of pairs.
     """
+    if total <= FEW:
+        out = pairs
+        for end in ends:
+            out = out.join(wide.select(F.col(key).alias(end), F.col(value).alias(f"{value}_{end}")), end)
+        return out
     both = pairs.select(F.col(ends[0]).alias("_k"))
     for end in ends[1:]:
         both = both.unionByName(pairs.select(F.col(end).alias("_k")))

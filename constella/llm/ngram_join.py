@@ -376,8 +376,8 @@ def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if labels is not None:
             _store.drop(labels)
     by_class = by_node.groupBy("class").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    named = _skew.spread_join(by_node.select("class", "node", "docs"), by_class, "class", total, ["node"]).select("node", "component_id", F.col("docs").alias("rows"))
-    full = _skew.spread_join(nodes.filter("n > 0"), named, "node", total, ["doc_id"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = _skew.spread_join(by_node.select("class", "node", "docs"), by_class, "class", total, ["node"], few=0).select("node", "component_id", F.col("docs").alias("rows"))
+    full = _skew.spread_join(nodes.filter("n > 0"), named, "node", total, ["doc_id"], few=0).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(nodes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
