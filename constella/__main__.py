@@ -56,7 +56,10 @@ def main(argv: list[str] | None = None) -> int:
 
 def _failed(spark, out: str, directories) -> dict[str, str]:
     """The directories of which no image could be processed, with an image's error; warnings and errors of all are logged."""
-    rows = batch.current(spark, out).join(directories.withColumnRenamed("path", "sample_dir"), "sample_dir", "left_semi")
+    done = batch.current(spark, out)
+    if done is None:
+        return {}
+    rows = done.join(directories.withColumnRenamed("path", "sample_dir"), "sample_dir", "left_semi")
     if LOG.isEnabledFor(logging.DEBUG):
         for r in rows.filter("error is not null or warning is not null").select("path", "error", "warning").toLocalIterator():
             LOG.debug("%s: %s", r.path, r.error or r.warning)
