@@ -8,7 +8,9 @@ whatever the corpus' size, and a shard leaves a few sequences open at most, so t
 vanishing share.
 
 Null text is empty: one piece that holds the separator alone. Repeated documents and null identifiers are
-packed as they come; an empty table gives no rows.
+packed as they come; columns other than the identifier and the text are ignored, whatever their names; an empty
+table gives no rows. Of equally good places the smallest gap wins, and of sequences with one gap the latest. A very long
+text is tokenised whole, in memory in proportion to its length, and cut into as many pieces as it takes.
 """
 
 from __future__ import annotations

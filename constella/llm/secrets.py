@@ -6,8 +6,10 @@ identifier, an endpoint next to an access identifier, an assignment, a hex token
 in an equi-join on (document, scope cell); a cell is as wide as a scope, so a part looks into three cells,
 and a cell holds a bounded number of parts however long the text is.
 
-Positions are code points. Null or empty text has no spans. Documents are told apart by row, so repeated and
-null identifiers are each reported; an empty table gives no rows.
+Positions are code points. Null or empty text has no spans. Documents are told apart by row, so repeated rows and
+null identifiers are each reported; other columns are ignored, whatever their names; an empty table gives no rows. Spans
+of one start are listed in order of their kinds. Patterns take whole runs, so very long texts cost time in proportion
+to their length.
 """
 
 from __future__ import annotations

@@ -96,3 +96,13 @@ def test_query_places_ids_and_takes_the_digest_of_them(spark, tmp_path, monkeypa
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     placed = {(r.doc_id, r.piece): zlib.crc32(r.ids) for r in seen[0].collect()}
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in got.collect()} == placed and len(placed) > 3
+
+
+def test_long_texts_and_other_columns(spark):
+    text = "some words of it " * 60_000
+    docs = spark.createDataFrame([(1, text, 5, "x"), (1, text, 5, "x"), (None, None, 6, "y")], "doc_id long, text string, piece int, ids string")
+    rows = P.pack_documents(docs).collect()
+    assert sorted({r.doc_id or 0 for r in rows}) == [0, 1] and [r.length for r in rows if r.doc_id is None] == [1]
+    n = sum(r.length for r in rows if r.doc_id == 1)
+    assert n % 2 == 0 and n > 2 * 200_000 and max(r.length for r in rows) == 1024
+    assert all(len(r.ids) == 4 * r.length for r in rows)

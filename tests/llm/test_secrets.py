@@ -76,3 +76,10 @@ def test_sql_finds_the_same():
         line = lambda spans: ",".join(f"{S.KINDS[j]}:{s}:{e}" for s, j, e in sorted(spans))
         assert got[k]["spans"] == line(base + more) and got[k]["n_linked"] == len(more)
         assert got[k]["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest()
+
+
+def test_long_texts_and_other_columns(spark):
+    filler = "no secret here " * 100_000
+    docs = spark.createDataFrame([(1, f"{filler}token = abcdef123 {filler}", "x", 1), (1, "a" * 2_000_000 + " password:" + " " * 500_000, None, 2), (2, "0" * 1_000_000, "y", 3)], "doc_id long, text string, spans string, row int")
+    got = sorted((r.doc_id, r.n_assign, r.n_hex) for r in S.scan(docs).collect())
+    assert got == [(1, 0, 1), (1, 1, 0), (2, 0, 1)]
