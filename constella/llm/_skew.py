@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A key is heavy beyond this share of all rows (and beyond ``LEAST`` rows), so fewer than ``PARTS`` keys ever are.
 PARTS, LEAST = 10_000, 64
-#: Rows in all up to which any key's rows are one small task, so that a plain join does.
-FEW = 100_000
+#: Rows in all up to which any key's rows are one small task, so that a plain join does; and pairs, whose values are wide.
+FEW, FEW_PAIRS = 100_000, 4_000
 
 
 def limit(total: int) -> int:
@@ -38,7 +38,7 @@ def salted_join(pairs: DataFrame, wide: DataFrame, ends: list[str], key: str, va
 
     A key of very many pairs has its value sent to several tasks, as many as its pairs fill; ``total`` is the number of pairs.
     """
-    if total <= FEW:
+    if total <= FEW_PAIRS:
         out = pairs
         for end in ends:
             out = out.join(wide.select(F.col(key).alias(end), F.col(value).alias(f"{value}_{end}")), end)

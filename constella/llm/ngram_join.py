@@ -275,7 +275,7 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, id_col: s
     """(node, grams): the whole sets of the nodes of pairs, taken from one document each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("_id")).join(wanted, "node").select("_id").distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids.withColumnRenamed("_id", "_wanted"), F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi").select("_text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids.withColumnRenamed("_id", "_wanted").hint("merge"), F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi").select("_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,7 +386,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     classes = link_classes(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
     mine, number = _store.free_name(docs, "_kept_id"), _store.free_name(docs, "_row")
     kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
-    one = docs.join(kept, F.col(id_col) == F.col(mine), "left_semi")
+    # Identifiers grow with the corpus: they are sorted and merged at every size, not broadcast while they are few.
+    one = docs.join(kept.hint("merge"), F.col(id_col) == F.col(mine), "left_semi")
     one = one.withColumn(number, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).filter(F.col(number) == 1).drop(number)
     return one.unionByName(docs.filter(F.col(id_col).isNull()))
 

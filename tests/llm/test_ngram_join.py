@@ -114,6 +114,7 @@ def test_sets_of_one_half_digest_are_told_apart(spark, monkeypatch):
 def test_hot_grams_and_classes_are_spread(spark, monkeypatch):
     monkeypatch.setattr(J._skew, "LEAST", 3)
     monkeypatch.setattr(J._skew, "FEW", 0)
+    monkeypatch.setattr(J._skew, "FEW_PAIRS", 0)
     monkeypatch.setattr(J, "HOT", 0)
     r, docs = np.random.default_rng(5), []
     base = [f"w{k}" for k in range(60)]
