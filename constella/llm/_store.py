@@ -52,7 +52,7 @@ def scope() -> Iterator[list[str]]:
     try:
         yield own
     finally:
-        _scopes.remove(own)
+        _scopes[:] = [s for s in _scopes if s is not own]  # scopes of equal content are not the same
 
 
 def discard(spark: SparkSession, paths: list[str], *keep: DataFrame) -> None:
