@@ -8,13 +8,14 @@ between them, or any number in the body of a long licence. Known sentences that
 
 Every known sentence holds one of ``ANCHORS``; a text without any of them is done at once. Null or empty text
 has no sentence; rows of one identifier, and repeated rows, are each reported; other columns are ignored whatever their
-names; an empty table gives no rows. Where rules tie the first listed wins. Very long texts take time in proportion to
-their length, as a sentence of more than ``LONGEST`` characters is none of the known ones.
+names; an empty table gives no rows. Where rules tie the first listed wins. A sentence of any length is looked up: no
+pattern has more than one part of open length before its fixed words, so that takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from constella.llm import _store
 
-#: Unknown sentences that may stand between two of a rule, and characters of a known sentence at most.
-GAP, LONGEST = 2, 4000
+#: Unknown sentences that may stand between two of a rule, and characters of a sentence that is looked up: any number.
+GAP, LONGEST = 2, sys.maxsize
 
 # Known sentences as patterns over normalised words, and the licences that sequences of them name.
 SENTENCES = {
@@ -173,8 +174,6 @@ def normalise(sentence: str) -> str:
 
 def _known(sentence: str) -> tuple[str, dict] | None:
     """The identifier of a sentence and the named parts in it."""
-    if len(sentence) > LONGEST:
-        return None
     words = normalise(sentence)
     if name := _SAME.get(words):
         return name, {}

@@ -149,3 +149,23 @@ def test_long_texts_and_other_columns(spark):
     docs = spark.createDataFrame([(1, f"{filler}Released under the MIT License.\n{filler}", "x", 1), (2, "license " * 300_000, None, 2)], "doc_id long, text string, licenses string, start int")
     got = {r.doc_id: r for r in L.scan(docs).collect()}
     assert [(x.license, x.start) for x in got[1].licenses] == [("MIT", len(filler))] and got[2].licenses == []
+
+
+@pytest.mark.parametrize("gap", [" ", "\n * "])
+@pytest.mark.parametrize(
+    ("before", "known", "after", "name", "license"),
+    [
+        ("word ", "released under the MIT License", "", "mit-ref", "MIT"), ("word ", "licensed under CC BY-NC 4.0", "", "cc-ref", "CC-BY-NC-4.0"), ("word ", "licensed under the GNU General Public License, version 3", "", "gpl-ref", "GPL-3.0-only"),
+        ("licensed under ", "licensed under a 2-clause BSD license", "", None, None), ("word ", "licensed under the Apache License, Version 2.0", "", "apache-ref", "Apache-2.0"),
+        ("", "You may obtain a copy of the License at", " word", "apache-obtain", None), ("", "SPDX-License-Identifier: mit", " word", "spdx", None), ("word ", "CC BY-NC 4.0", "", None, None),
+    ],
+)
+def test_sentences_of_any_length_are_known(gap, before, known, after, name, license):
+    for n in (700, 40_000):
+        text = (before * n).replace(" ", gap) + known + (after * n).replace(" ", gap)
+        found = L._known(text)
+        assert len(text) > 3_500 and (found and found[0]) == next((k for k, p in L.SENTENCES.items() if re.fullmatch(p, L.normalise(text))), None)
+        if name:
+            assert found[0] == name
+        if license:
+            assert [x["license"] for x in L.recognise(f"First sentence. {text}. Last sentence.")[0]] == [license]
