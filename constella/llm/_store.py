@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,12 +83,38 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEAN_UP, before)
 
 
+#: Seconds between two times that the driver gives memory back, and when it last did.
+PAUSE = 5
+_given_back = 0.0
+
+
+def give_back(spark: SparkSession) -> None:
+    """The driver's JVM collects its garbage, shrinks its heap and gives what its threads have freed back to the system.
+
+    Many short queries leave plans on the heap, and buffers of compilers and threads in malloc's arenas, which would
+    otherwise grow to their limits.
+    """
+    global _given_back
+    if time.monotonic() - _given_back < PAUSE:
+        return
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.System.gc()
+    with suppress(Exception):  # other virtual machines and C libraries do so by themselves
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # The server's own class isn't exported; its interface is.
+        next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke").invoke(server, args)
+    _given_back = time.monotonic()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and return the table read back."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     with tidy(spark):
         # A writer holds a row group in memory; these are read once or twice, and soon deleted.
         df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

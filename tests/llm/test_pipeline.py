@@ -107,3 +107,17 @@ def test_columns_that_clash_with_the_stages_own(spark):
     for name, stage in C.STAGES[:-1]:
         docs = _store.materialise(stage(spark, docs, SF), name)
     assert [tuple(r) for r in docs.collect()] == [(1, text, "en", "s", 5, *"abcdef")]
+
+
+def test_the_driver_gives_memory_back_between_tables(spark, monkeypatch):
+    long_ago = -_store.PAUSE
+    monkeypatch.setattr(_store, "_given_back", long_ago)
+    out = _store.materialise(spark.range(10).toDF("id"), "own")
+    assert _store._given_back > long_ago and sorted(r.id for r in out.collect()) == list(range(10))
+    _store.drop(out)
+    # Nothing else on the JVM's heap refers to this key.
+    seen = spark.sparkContext._jvm.java.util.WeakHashMap()
+    seen.put(123_456, "garbage")
+    _store._given_back = long_ago
+    _store.give_back(spark)
+    assert seen.size() == 0
